@@ -1,4 +1,4 @@
-"""Documents through near-duplicate removal, decontamination and packing."""
+"""Documents through quality rules, near-duplicate removal, decontamination and packing."""
 
 from __future__ import annotations
 
@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import settle
 from lacuna.llm.decontam import decontaminate
 from lacuna.llm.packing import pack_documents
+from lacuna.llm.quality import keep_good
 from lacuna.llm.simhash import near_duplicates
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return keep_good(docs)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id stays."""
     groups = near_duplicates(docs)
@@ -28,7 +34,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack_documents(docs)
 
 
-STAGES = [("near-duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("near-duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("packing", packing_stage)]
 ORACLE_SQL = None
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op5_mcd_outliers": ("quality", "op5"),
     "op7_simhash_pivots": ("simhash", "op7"),
     "op8_sum_of_squares_packing": ("packing", "op8"),
     "op10_spaced_seed_decontamination": ("decontam", "op10"),
