@@ -1,4 +1,4 @@
-"""Documents through quality rules, near-duplicate removal, decontamination and packing."""
+"""Documents through quality rules, near-duplicate removal, decontamination, masking of personal data and packing."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import settle
 from lacuna.llm.decontam import decontaminate
 from lacuna.llm.packing import pack_documents
+from lacuna.llm.pii import mask_personal_data
 from lacuna.llm.quality import keep_good
 from lacuna.llm.simhash import near_duplicates
 
@@ -29,12 +30,17 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is masked; no document goes."""
+    return mask_personal_data(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every token of the remaining documents gets a place in a training sequence."""
     return pack_documents(docs)
 
 
-STAGES = [("quality", quality_stage), ("near-duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("packing", packing_stage)]
+STAGES = [("quality", quality_stage), ("near-duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("personal-data", personal_data_stage), ("packing", packing_stage)]
 ORACLE_SQL = None
 
 

@@ -8,6 +8,7 @@ _MODULES = {
     "op5_mcd_outliers": ("quality", "op5"),
     "op7_simhash_pivots": ("simhash", "op7"),
     "op8_sum_of_squares_packing": ("packing", "op8"),
+    "op9_skip_chain_field": ("pii", "op9"),
     "op10_spaced_seed_decontamination": ("decontam", "op10"),
 }
 
