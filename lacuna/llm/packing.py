@@ -8,6 +8,7 @@ number of pieces streams through in bounded memory.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ CAPACITY = 2048
 #: Pieces that share one set of open sequences. Each set ends with a few open sequences, so a larger one wastes less.
 SET_PIECES = 8192
 #: Words whose ids a worker keeps; the memory is let go when full.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -31,35 +32,84 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level tokenizers write for each byte: itself where printable, else the next from U+0100."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Token ids of texts as little-endian 32-bit bytes.
 
     Exact for tokenizers whose tokens never span a space or line feed: parts between those are encoded by the
     tokenizer itself, each distinct part once while it is remembered. Parts may hold any other white space.
+
+    A part that is a word and closing marks is encoded as the word in lower case and the marks, if the tokenizer
+    takes them apart and ignores case, which is probed when it is loaded; so case and marks don't multiply words.
     """
 
+    MARKS = ".,;:!?"
+
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        probes = ["The", "straße,", "ÉTÉ.", "a?!", "ñandúes", "Wörter;", "naïve...", "ΩΜΕΓΑ", "Привет,", "x", "日本語:", "it's", "B2B,"]
+        self.splits = all((self._split(p) or self._whole([p])[0]) == self._whole([p])[0] for p in probes)
+
+    def _whole(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _split(self, part: str) -> bytes | None:
+        """Ids of word and marks; None if the part is something else, or of letters whose case is not plain."""
+        word = part.rstrip(self.MARKS)
+        if not word.isalpha():
+            return None
+        low = word.lower()
+        ids = self.words.get(low)
+        if ids is None:
+            if not low.isascii() and (not low.isalpha() or len(low) != len(word) or "Σ" in word or not (unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low))):
+                return None
+            shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            ids = self.words[low] = np.array([t.id for t in self.tok.model.tokenize(shown)], "<u4").tobytes()
+        if len(word) == len(part):
+            return ids
+        end = part[len(word) :]
+        if end not in self.marks:
+            self.marks[end] = self._whole([end])[0]
+        return ids + self.marks[end]
 
     def learn(self, parts: list[str]) -> None:
+        if self.splits:
+            left = []
+            for p in parts:
+                ids = self._split(p)
+                if ids is None:
+                    left.append(p)
+                else:
+                    self.known[p] = ids
+            parts = left
         for k in range(0, len(parts), 20_000):
             some = parts[k : k + 20_000]
-            for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+            self.known.update(zip(some, self._whole(some)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for t in texts:
-            parts = t.replace("\n", " ").split(" ")
+        for k in range(0, len(texts), 256):
             if len(self.known) > CACHED_WORDS:
                 self.known.clear()
+                self.words.clear()
+                self.marks.clear()
+            split = [t.replace("\n", " ").split(" ") for t in texts[k : k + 256]]
+            self.learn(list(set().union(*split).difference(self.known)))
             known = self.known
-            if fresh := set(parts).difference(known):
-                self.learn(list(fresh))
-            yield b"".join(map(known.__getitem__, parts))
+            for parts in split:
+                yield b"".join(map(known.__getitem__, parts))
 
 
 _encoders: dict[str, WordEncoder] = {}
