@@ -69,12 +69,12 @@ class WordEncoder:
     def _split(self, part: str) -> bytes | None:
         """Ids of word and marks; None if the part is something else, or of letters whose case is not plain."""
         word = part.rstrip(self.MARKS)
-        if not word.isalpha():
+        if "Σ" in word or not word.isalpha():  # its small letter depends on its place
             return None
         low = word.lower()
         ids = self.words.get(low)
         if ids is None:
-            if not low.isascii() and (not low.isalpha() or len(low) != len(word) or "Σ" in word or not (unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low))):
+            if not low.isascii() and (not low.isalpha() or len(low) != len(word) or not (unicodedata.is_normalized("NFC", word) and unicodedata.is_normalized("NFC", low))):
                 return None
             shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
             ids = self.words[low] = np.array([t.id for t in self.tok.model.tokenize(shown)], "<u4").tobytes()
