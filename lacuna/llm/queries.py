@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op3_minimax_shards": ("sharding", "op3"),
     "op4_kneser_ney_toxicity": ("toxicity", "op4"),
     "op5_mcd_outliers": ("quality", "op5"),
     "op7_simhash_pivots": ("simhash", "op7"),
