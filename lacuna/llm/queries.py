@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_template_compiler": ("chat", "op1"),
+    "op2_segment_reassembly": ("warc", "op2"),
     "op3_minimax_shards": ("sharding", "op3"),
     "op4_kneser_ney_toxicity": ("toxicity", "op4"),
     "op5_mcd_outliers": ("quality", "op5"),
@@ -24,4 +26,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_spaced_seed_decontamination": _query("decontam", "OP10_SQL")}
+    return {
+        "op1_template_compiler": _query("chat", "OP1_SQL"),
+        "op2_segment_reassembly": _query("warc", "OP2_SQL"),
+        "op10_spaced_seed_decontamination": _query("decontam", "OP10_SQL"),
+    }
