@@ -10,6 +10,7 @@ _MODULES = {
     "op3_minimax_shards": ("sharding", "op3"),
     "op4_kneser_ney_toxicity": ("toxicity", "op4"),
     "op5_mcd_outliers": ("quality", "op5"),
+    "op6_field_over_leaf_blocks": ("html", "op6"),
     "op7_simhash_pivots": ("simhash", "op7"),
     "op8_sum_of_squares_packing": ("packing", "op8"),
     "op9_skip_chain_field": ("pii", "op9"),
