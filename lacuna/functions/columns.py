@@ -39,10 +39,10 @@ def _hits(pieces: Column, inside: str) -> Column:
     return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
-def find_all(text: Column, java: str) -> Column:
+def find_all(text: Column, java: str | Column) -> Column:
     """All leftmost non-overlapping matches as ``array<struct<s,e,cs,ce>>`` (bytes, code points)."""
     clean = F.translate(text, OPEN + SECRET + AFTER + CLOSE, _ASIDE)
-    marked = F.regexp_replace(clean, F.lit(java), F.lit(f"{OPEN}$0{CLOSE}"))
+    marked = F.regexp_replace(clean, F.lit(java) if isinstance(java, str) else java, F.lit(f"{OPEN}$0{CLOSE}"))
     return _hits(F.split(marked, f"[{OPEN}{CLOSE}]", -1), HIT)
 
 

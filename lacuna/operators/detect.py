@@ -109,25 +109,75 @@ def accepted(span: Column, rule: Rule) -> Column:
     return out
 
 
-#: One look tells whether any secret rule can match at all: prefixes, and stems with an operator somewhere.
+def _plain(r: Rule) -> bool:
+    """The rule's match is its secret, and nothing but entropy, exact values and context decide on it."""
+    return not r.before and not r.allow.regex and not r.allow.stop_words
+
+
+def _rule_table(rules: tuple[Rule, ...]) -> Column:
+    """Plain rules as an array of structs, so that the plan holds one scan for all of them."""
+    words = lambda ws: F.array(*map(F.lit, ws)) if ws else none_of("string")
+    return F.array(
+        *(
+            F.struct(
+                F.lit(k).alias("ord"), F.lit(r.type).alias("type"), F.lit(to_java(r.secret)).alias("regex"), words(r.needs).alias("needs"), F.lit(float(r.entropy)).alias("entropy"),
+                words(r.context).alias("context"), words(r.allow.exact).alias("exact"),
+            )
+            for k, r in enumerate(rules)
+            if _plain(r)
+        )
+    )
+
+
+_ORDERED = "struct<ord:int,fs:int,fe:int,type:string,start:int,end:int,text:string,cstart:int,cend:int>"
+_SPAN_FIELDS = ("type", "start", "end", "text", "cstart", "cend")
+
+
+def plain_rule_spans(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Accepted matches of all plain rules. Only rules of which a needed string is there are tried."""
+    tried = F.filter(_rule_table(rules), lambda r: F.exists(r["needs"], lambda n: F.contains(text, n)))
+
+    def hits(r: Column) -> Column:
+        found = F.transform(find_all(text, r["regex"]), lambda h: F.struct(
+            r["ord"].alias("ord"), h["s"].alias("fs"), h["e"].alias("fe"), r["type"].alias("type"), h["s"].alias("start"), h["e"].alias("end"), _cut(text, h["cs"], h["ce"]).alias("text"), h["cs"].alias("cstart"), h["ce"].alias("cend")))
+
+        def keep(h: Column) -> Column:
+            line = F.lower(F.concat(F.substring_index(F.substring(text, F.lit(1), h["cstart"]), "\n", -1), F.substring_index(F.substring(text, h["cstart"] + 1, F.length(text)), "\n", 1)))
+            near = (F.size(r["context"]) == 0) | F.exists(r["context"], lambda w: F.contains(line, w))
+            return near & (shannon_entropy(h["text"]) >= r["entropy"]) & ~F.array_contains(r["exact"], h["text"])
+
+        return F.filter(found, keep)
+
+    return F.flatten(F.transform(tried, hits))
+
+
+#: One look tells whether any secret rule can match at all: prefixes and stems.
 def _any_secret(text: Column, low: Column, rules: tuple[Rule, ...]) -> Column:
-    needs = tuple(n for r in rules for n in r.needs)
-    stems = tuple(s for r in rules for s in _STEMS.get(r.type, ()))
-    return any_contains(text, needs) | any_contains(low, stems)
+    needs = F.array(*(F.lit(n) for r in rules for n in r.needs))
+    stems = F.array(*(F.lit(s) for r in rules for s in _STEMS.get(r.type, ("\u0000 never",))))
+    return F.exists(needs, lambda n: F.contains(text, n)) | F.exists(stems, lambda s: F.contains(low, s))
+
+
+def secret_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Accepted matches of all rules, by declaration order, then position."""
+    low = F.lower(text)
+    order = lambda k: lambda h: F.struct(F.lit(k).alias("ord"), h["fs"].alias("fs"), h["fe"].alias("fe"), *(h[f].alias(f) for f in _SPAN_FIELDS))
+    passing = lambda rule: F.filter(rule_spans(text, rule, low), lambda h: accepted(h, rule))
+    parts = [F.transform(passing(r), order(k)) for k, r in enumerate(rules) if not _plain(r)]
+    if any(map(_plain, rules)):
+        parts.append(plain_rule_spans(text, rules))
+    return F.when(_any_secret(text, low, rules), F.sort_array(F.concat(*parts))).otherwise(none_of(_ORDERED))
 
 
 def secret_stage(text: Column, taken: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Spans of all rules in declaration order. A match claims all its text, though only the secret is a span;
     it is passed over where its text overlaps ``taken`` or an earlier claim, or where the secret is not accepted."""
-    low = F.lower(text)
-    passing = lambda rule: F.filter(rule_spans(text, rule, low), lambda h: accepted(h, rule))
-    found = F.concat(*(passing(r) for r in rules))
 
     def claims(c: Column) -> Column:
         free = F.filter(c, lambda h: ~F.exists(taken, lambda t: (h["fs"] < t["end"]) & (t["start"] < h["fe"])))
-        return in_order(F.transform(claim(free, _FULL, "fs", "fe"), lambda h: F.struct(*(h[k].alias(k) for k in ("type", "start", "end", "text", "cstart", "cend")))))
+        return in_order(F.transform(claim(free, _ORDERED, "fs", "fe"), lambda h: F.struct(*(h[k].alias(k) for k in _SPAN_FIELDS))))
 
-    return F.when(_any_secret(text, low, rules), let(found, lambda c: F.when(F.size(c) == 0, none_of(SPAN)).otherwise(claims(c)))).otherwise(none_of(SPAN))
+    return let(secret_spans(text, rules), lambda c: F.when(F.size(c) == 0, none_of(SPAN)).otherwise(claims(c)))
 
 
-__all__ = ["HIT", "SPAN", "accepted", "in_order", "pattern_spans", "pattern_stage", "rule_spans", "secret_stage", "stop_word_pattern", "suppressed"]
+__all__ = ["HIT", "SPAN", "accepted", "in_order", "pattern_spans", "pattern_stage", "rule_spans", "secret_spans", "secret_stage", "stop_word_pattern", "suppressed"]

@@ -102,8 +102,9 @@ def extend_house_numbers(text: Column, spans: Column) -> Column:
 
 
 def explode_spans(df: DataFrame, spans: str = "spans") -> DataFrame:
-    """One row per span."""
-    return df.select("doc_id", F.explode(spans).alias("m")).select("doc_id", "m.type", "m.start", "m.end", "m.text")
+    """One row per span. (An outer explode and a later filter: else the optimizer would evaluate the spans a second
+    time, to filter rows before it explodes them.)"""
+    return df.select("doc_id", F.explode_outer(spans).alias("m")).where("m is not null").select("doc_id", "m.type", "m.start", "m.end", "m.text")
 
 
 def split_lines(text: Column) -> Column:
