@@ -19,10 +19,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest id stays."""
-    groups = near_duplicates(docs)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id").select(docs.columns)
+    """Of each group of near copies, the document with the smallest id stays (null ids come last, then the first row).
+
+    ``docs`` is a written table, so that its rows are numbered alike whenever it is read.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    groups = near_duplicates(numbered, id_col="_row").join(numbered.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("own_id")), "doc_id")
+    order = F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", F.col("doc_id").alias("row"))
+    stay = groups.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row"))
+    return numbered.join(settle(stay, "survivors"), "_row", "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

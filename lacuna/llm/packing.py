@@ -184,7 +184,7 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
 def pack(pieces_df: DataFrame, capacity: int = CAPACITY, set_pieces: int = SET_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to settled pieces.
 
-    Pieces are dealt by a hash of document and piece into sets of about ``set_pieces``; every set is packed by
+    Pieces are dealt by a hash of document, piece and row into sets of about ``set_pieces``; every set is packed by
     itself, so that work and memory per task are bounded whatever the input, and no key can fill one task.
     """
     spark = pieces_df.sparkSession
@@ -216,7 +216,7 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY, set_pieces: int = SET_P
         if held:
             yield from flush()
 
-    key = F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(sets))
+    key = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(sets))
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     dealt = pieces_df.withColumn("pack_set", key).repartition(sets, "pack_set").sortWithinPartitions("pack_set", F.desc("length"), "doc_id", "piece")
     return dealt.mapInArrow(run, f"{cols}, sequence_id long, offset long")
@@ -226,7 +226,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str =
     """One row per piece, with its place.
 
     Null and empty texts are one piece of the end id alone; an empty table gives an empty result; repeated rows
-    are packed as often as they come (they fall into the same set); other columns are not looked at.
+    are packed as often as they come; other columns are not looked at.
     """
     return pack(settle(pieces(docs, tokenizer or default_tokenizer(), id_col, text_col, capacity), "pieces"), capacity)
 

@@ -132,9 +132,9 @@ def _whitening(p: DataFrame) -> DataFrame:
     return p.select("g", *(f"m{i}" for i in range(d)), *(f"w{i}_{j}" for i in range(d) for j in range(i + 1)))
 
 
-def _distance(x: list[Column]) -> Column:
+def _distance(x: list[Column], prefix: str = "") -> Column:
     d = len(FEATURES)
-    z = [reduce(add, (F.col(f"w{i}_{j}") * (x[j] - F.col(f"m{j}")) for j in range(i + 1))) for i in range(d)]
+    z = [reduce(add, (F.col(f"{prefix}w{i}_{j}") * (x[j] - F.col(f"{prefix}m{j}")) for j in range(i + 1))) for i in range(d)]
     return reduce(add, (v * v for v in z))
 
 
@@ -177,10 +177,10 @@ def fit(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", pr
 def judge(stats: DataFrame, model: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "") -> DataFrame:
     """Adds ``distance`` (squared; null without an estimate) and ``kept``."""
     keyed = stats.withColumns({f"{prefix}k_lang": _key(lang_col), f"{prefix}k_source": _key(source_col)})
-    m = model.withColumnsRenamed({"k_lang": f"{prefix}k_lang", "k_source": f"{prefix}k_source"})
+    m = model.select(*(F.col(c).alias(prefix + c) for c in model.columns))
     own = [c for c in m.columns if not c.startswith(f"{prefix}k_")]
     out = keyed.join(m, [f"{prefix}k_lang", f"{prefix}k_source"], "left")
-    out = out.withColumn(f"{prefix}distance", F.when(~F.col(f"{prefix}base_failed"), _distance(_features(prefix)))).drop(*own, f"{prefix}k_lang", f"{prefix}k_source")
+    out = out.withColumn(f"{prefix}distance", F.when(~F.col(f"{prefix}base_failed"), _distance(_features(prefix), prefix))).drop(*own, f"{prefix}k_lang", f"{prefix}k_source")
     return out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & F.coalesce(F.col(f"{prefix}distance") <= CUT, F.lit(True)))
 
 
