@@ -200,7 +200,10 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     p = "_quality_"
     src = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
     model = fit(settle(with_statistics(src).drop("text"), "quality-statistics"))
-    return judge(with_statistics(docs, text_col, p), model, lang_col, source_col, p).where(f"{p}kept").select(docs.columns)
+    judged = judge(with_statistics(docs, text_col, p), model, lang_col, source_col, p)
+    # one comparison: the optimizer would push a part of a conjunction below the join, and count words once more for it
+    bad = F.greatest(F.col(f"{p}base_failed").cast("int"), F.coalesce((F.col(f"{p}distance") > CUT).cast("int"), F.lit(0)))
+    return judged.where(bad == 0).select(docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
