@@ -6,7 +6,12 @@ The functions registered here run in Arrow batches. DataFrame code uses the expr
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import pandas_udf
 
 from lacuna.plans.pipeline import Config, Pipeline
 
@@ -18,12 +23,6 @@ def register(spark: SparkSession) -> None:
 
 
 def _scalar(name: str, kind: str):
-    import math
-    from collections import Counter
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     def luhn(s: str) -> bool:
         d = [int(c) for c in s if c in "0123456789"]
         return len(d) >= 13 and sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(reversed(d))) % 10 == 0

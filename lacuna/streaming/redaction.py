@@ -24,6 +24,6 @@ def counts_by_window(docs: DataFrame, time_col: str, window: str = "10 minutes",
 
 def redact_folder(spark: SparkSession, source: str, target: str, checkpoint: str, config: Config | None = None) -> None:
     """Redacts the whole-text files of a folder that are new since the last call, then stops."""
-    docs = spark.readStream.schema("value string").option("wholetext", "true").text(source).withColumnRenamed("value", "text")
+    docs = spark.readStream.schema("value string").text(source, wholetext=True).withColumnRenamed("value", "text")
     out = redacted_stream(docs, "text", config).select("redacted", "spans")
     out.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
