@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -41,12 +42,18 @@ class Config:
         return tuple(t for t in ALL_TYPES if t not in self.disabled)
 
 
+@lru_cache(maxsize=16)
+def _expression(kind: str, rules: tuple, app: str) -> Column:
+    """A stage's expression, built once per application: it takes thousands of calls into the JVM."""
+    return pattern_stage(F.col("text"), rules) if kind == "patterns" else secret_stage(F.col("text"), F.col("claimed"), rules)
+
+
 def patterns_stage(config: Config) -> Stage:
-    return lambda df: df.withColumn("found", pattern_stage(F.col("text"), config.patterns))
+    return lambda df: df.withColumn("found", _expression("patterns", config.patterns, df.sparkSession.sparkContext.applicationId))
 
 
 def secrets_stage(config: Config) -> Stage:
-    return lambda df: df.withColumn("found", secret_stage(F.col("text"), F.col("claimed"), config.rules))
+    return lambda df: df.withColumn("found", _expression("secrets", config.rules, df.sparkSession.sparkContext.applicationId))
 
 
 @dataclass(frozen=True)

@@ -38,7 +38,7 @@ CASES = [
     ("postgres://admin:s3cretpw@db.example.com:5432/x", "postgres://admin:[REDACTED - EMAIL]:5432/x"),
     ("ftp://u:p@h", "ftp://u:p@h"),
     ("api_key = 'aZ3bY4cX5dW6eV7f'", "api_key = '[REDACTED - GENERIC_API_KEY]'"),
-    ("password: hunter2hunter2\n", "password: [REDACTED - PASSWORD]\n"),
+    ("password: hunter2Kunter9x\n", "password: [REDACTED - PASSWORD]\n"),
     ("token = my-example-1234", "token = my-example-1234"),
     ("secret: abcdefghijklmnop", "secret: abcdefghijklmnop"),
     ("secret =\nabcdefgh12345678", "secret =\nabcdefgh12345678"),
