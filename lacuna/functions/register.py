@@ -1,48 +1,47 @@
-"""What SQL text can call: scalar checks, and views of redacted tables.
+"""What SQL text can call: functions, a table function, and views of redacted tables.
 
-The functions registered here run in Arrow batches. DataFrame code uses the expressions of
+The functions run in Arrow batches (:mod:`lacuna.functions.arrow_engine`). DataFrame code uses the expressions of
 :mod:`lacuna.functions.validators` and :mod:`lacuna.plans.pipeline`, which stay in the JVM, as do the views.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import pandas_udf, udtf
 
+from lacuna.functions import arrow_engine as engine
 from lacuna.plans.pipeline import Config, Pipeline
 
+SPANS = "array<struct<type:string,start:int,end:int,text:string>>"
 
-def register(spark: SparkSession) -> None:
-    """Publishes ``luhn_valid``, ``iban_valid`` and ``shannon_entropy``."""
-    for name, kind in (("luhn_valid", "boolean"), ("iban_valid", "boolean"), ("shannon_entropy", "double")):
-        spark.udf.register(name, _scalar(name, kind))
 
+def _rows(text: str) -> list[dict]:
+    """Spans with byte offsets."""
+    return [{"type": k, "start": len(text[:a].encode()), "end": len(text[:b].encode()), "text": text[a:b]} for k, a, b in engine.spans(text)]
 
-def _scalar(name: str, kind: str):
-    def luhn(s: str) -> bool:
-        d = [int(c) for c in s if c in "0123456789"]
-        return len(d) >= 13 and sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(reversed(d))) % 10 == 0
 
-    def iban(s: str) -> bool:
-        if not 15 <= len(s) <= 34 or not all(c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in s):
-            return False
-        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+def _function(kind: str, one: Callable):
+    @pandas_udf(kind)
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda s: None if s is None else one(s))
 
-    def entropy(s: str) -> float:
-        n = len(s.encode())
-        return -sum(k / n * math.log2(k / n) for k in Counter(s).values()) if n else 0.0
+    return run
 
-    one = {"luhn_valid": luhn, "iban_valid": iban, "shannon_entropy": entropy}[name]
 
-    @pandas_udf(kind)
-    def udf(v: pd.Series) -> pd.Series:
-        return v.map(lambda s: None if s is None else one(s))
+class _Matches:
+    def eval(self, text: str) -> Iterator[tuple]:
+        for m in _rows(text) if text is not None else ():
+            yield m["type"], m["start"], m["end"], m["text"]
+
 
-    return udf
+def register(spark: SparkSession) -> None:
+    """Publishes ``redact``, ``pii_spans``, ``luhn_valid``, ``iban_valid``, ``shannon_entropy``, and ``pii_matches`` (a table function)."""
+    for name, kind, one in (("redact", "string", engine.redact), ("pii_spans", SPANS, _rows), ("luhn_valid", "boolean", engine.luhn), ("iban_valid", "boolean", engine.iban), ("shannon_entropy", "double", engine.entropy)):
+        spark.udf.register(name, _function(kind, one))
+    spark.udtf.register("pii_matches", udtf(_Matches, returnType="type string, start int, end int, text string"))
 
 
 def redact_view(spark: SparkSession, source: str, target: str, text_col: str = "text", config: Config | None = None) -> DataFrame:

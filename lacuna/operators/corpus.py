@@ -199,3 +199,33 @@ def generate(spark, n: int, seed: int = 42, first_uid: int = 1_000_000) -> DataF
 def random_ip(id_col: str, seed: int = 42) -> Column:
     p = lambda s, a, b: (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(s)), F.lit(b - a + 1)) + a).cast("string")
     return F.concat_ws(".", F.lit("10"), p("b", 0, 255), p("c", 0, 255), p("d", 1, 254))
+
+
+def random_timestamp(id_col: str, seed: int = 42) -> Column:
+    """An instant of 2025 as ISO text in UTC."""
+    seconds = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit("at")), F.lit(365 * 86_400))
+    return F.date_format(F.timestamp_seconds(F.lit(1_735_689_600) + seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def balanced(rows: DataFrame, class_col: str, id_col: str, positives: int, negatives: int, seed: int = 42) -> DataFrame:
+    """At most so many rows of each class: those of least hash."""
+    return sample_rows(rows.where(F.col(class_col)), positives, seed, id_col).unionByName(sample_rows(rows.where(~F.col(class_col)), negatives, seed, id_col))
+
+
+def from_token_classes(rows: DataFrame, seed: int = 42, positives: int = 50_000, negatives: int = 100_000) -> DataFrame:
+    """Training rows from (tokens, ner_tags): sampled by class, interleaved, with ``uid`` from 2,000,000."""
+    text, spans_ = tokens_to_text(F.col("tokens")), tokens_to_spans(F.col("tokens"), F.col("ner_tags"))
+    mask = F.transform("_s", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["label"].alias("label"), F.substring(F.col("source_text"), m["start"] + 1, m["end"] - m["start"]).alias("value")))
+    base = rows.select(text.alias("source_text"), spans_.alias("_s")).withColumn("_id", F.md5("source_text"))
+    chosen = balanced(base.withColumn("_positive", F.size("_s") > 0), "_positive", "_id", positives, negatives, seed)
+    return normalise(interleave(chosen, "_positive", "_id", seed).withColumn("privacy_mask", mask))
+
+
+def prepare(*sources: DataFrame, seed: int = 42) -> DataFrame:
+    """Union, normal form, deduplication, hash order with new ``uid`` from 0 on, and stratified splits."""
+    rows = normalise(union_sources(*sources))
+    rows = rows.withColumn("_key", F.sha2(F.concat_ws("|", "source_text", mask_key(F.col("privacy_mask")).cast("string")), 256))
+    first = rows.groupBy("_key").agg(F.min("uid").alias("uid"))
+    kept = rows.join(first, ["_key", "uid"], "left_semi").dropDuplicates(["_key"]).withColumn("_all", F.lit("all"))
+    ranked = ranks_within(kept, "_all", shuffle_rank(seed, "uid"), "uid").withColumn("uid", F.col("k") - 1).drop("k", "n", "_all", "_key")
+    return stratified_split(ranked.withColumn("_stratum", stratum(F.col("privacy_mask"))), "_stratum", "uid", seed).drop("_stratum")

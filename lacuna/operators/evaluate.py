@@ -76,6 +76,16 @@ def prf(cases: DataFrame, expected: str = "expected", predicted: str = "predicte
     return sums.withColumns(ratios(F.col("tp"), F.col("n_expected"), F.col("n_predicted")))
 
 
+def exact_prf(cases: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
+    """As :func:`prf`, where only equal spans of equal type match."""
+    same = F.array_intersect(*(F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"))) for c in (expected, predicted)))
+    part = lambda c, k: cases.select(F.explode(c).alias("x")).select("x.type", F.lit(k).alias("k"))
+    tall = part(F.col(expected), "e").unionByName(part(F.col(predicted), "p")).unionByName(part(same, "tp"))
+    n = lambda k: F.sum((F.col("k") == k).cast("int"))
+    sums = tall.rollup("type").agg(n("tp").alias("tp"), n("e").alias("n_expected"), n("p").alias("n_predicted"))
+    return sums.withColumns(ratios(F.col("tp"), F.col("n_expected"), F.col("n_predicted")))
+
+
 def gate(metrics: DataFrame, least_f1: float = 0.70) -> bool:
     """The quality gate on the row over all types."""
     row = metrics.where("type is null").first()

@@ -71,6 +71,24 @@ def test_corpus_steps(spark):
     assert spark.range(3).select(corpus.random_ip("id").alias("ip")).where("ip rlike '^10[.]'").count() == 3
 
 
+def test_prepared_corpus(spark):
+    classes = spark.createDataFrame([([f"w{k}", "Ana", "x"], [0, 7, 0] if k % 3 else [0, 0, 0]) for k in range(60)], "tokens array<string>, ner_tags array<int>")
+    made = corpus.generate(spark, 200)
+    rows = corpus.prepare(made, corpus.from_token_classes(classes), made.withColumn("uid", F.col("uid") + 5_000_000)).collect()
+    assert sorted(r["uid"] for r in rows) == list(range(len(rows)))
+    assert len(rows) == made.select("source_text").distinct().count() + 60
+    assert {r["split"] for r in rows} == {"train", "validation", "test"}
+    assert all(r["source_text"][m["start"] : m["end"]] == m["value"] for r in rows for m in r["privacy_mask"])
+    from lacuna.operators.evaluate import exact_prf, gate, prf
+
+    s = lambda *xs: [{"start": a, "end": b, "type": t} for a, b, t in xs]
+    cases = spark.createDataFrame([(s((0, 3, "NAME"), (5, 9, "NAME")), s((0, 3, "NAME"), (6, 9, "NAME"), (20, 22, "ADDRESS")))], "expected array<struct<start:int,end:int,type:string>>, predicted array<struct<start:int,end:int,type:string>>")
+    exact = {r["type"]: (r["tp"], r["n_expected"], r["n_predicted"]) for r in exact_prf(cases).collect()}
+    assert exact == {"NAME": (1, 2, 2), "ADDRESS": (0, 0, 1), None: (1, 2, 3)}
+    assert gate(prf(cases)) and not gate(exact_prf(cases))
+    assert spark.range(2).select(corpus.random_timestamp("id").alias("t")).where("t rlike '^2025-.*Z$'").count() == 2
+
+
 def test_streaming(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("-----BEGIN K-----\nx\n-----END K-----\n")

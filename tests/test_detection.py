@@ -113,6 +113,23 @@ def test_validators(spark):
     assert spark.sql("select redacted from redacted_values where v like 'GB82%32'").first()[0] == "[REDACTED - IBAN]"
 
 
+def test_both_engines_agree(spark):
+    from lacuna.functions import arrow_engine
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(SAMPLES, "doc_id long, text string"))
+    rng = random.Random(3)
+    parts = [t for _, t in SAMPLES] + ["key=", "\n", " : ", "'", "password"]
+    made = [(10**6 + k, "".join(rng.choice(["", " ", "\n"]) + (p if rng.random() < 0.5 else p[rng.randrange(len(p)) :]) for p in rng.sample(parts, 3))) for k in range(300)]
+    docs = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string")).repartition(4)
+    for r in Pipeline().run(docs).collect():
+        assert r["redacted"] == arrow_engine.redact(r["text"]), r["text"]
+    register(spark)
+    spark.createDataFrame([("é a@b.co",), (None,)], "text string").createOrReplaceTempView("some")
+    assert [r[0] for r in spark.sql("select redact(text) from some").collect()] == ["é [REDACTED - EMAIL]", None]
+    assert [tuple(r) for r in spark.sql("select m.* from some, lateral pii_matches(text) m").collect()] == [("EMAIL", 3, 9, "a@b.co")]
+    assert spark.sql("select pii_spans(text)[0].start from some where text is not null").first()[0] == 3
+
+
 def test_stop_words(spark):
     rule = next(r for r in RULES if r.type == "GENERIC_API_KEY")
 
