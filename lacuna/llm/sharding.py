@@ -146,13 +146,8 @@ def _group_totals(rows: DataFrame, key: str) -> DataFrame:
     for p in sorted(sums):
         offset[p], total = total, total + sums[p]
     inner = F.sum("size").over(W.partitionBy("part").orderBy(F.asc_nulls_first("first"), key)) - F.col("size")
-    return settle(ranged.withColumn("start", inner + _lookup(offset, "part")).select(key, "start", "size"), "running-totals")
-
-
-def _lookup(values: dict[int, int], col: str):
-    """``values[col]`` for a small map (one entry per partition or shard)."""
-    top = max(values, default=-1)
-    return F.element_at(F.array(*(F.lit(int(values.get(k, 0))) for k in range(top + 1))), F.col(col) + 1) if values else F.lit(0).cast("long")
+    before = spark.createDataFrame(sorted(offset.items()), "part int, before long")  # one row per range of ORDERED_ROWS
+    return settle(ranged.withColumn("start", inner).join(F.broadcast(before), "part").select(key, (F.col("start") + F.col("before")).alias("start"), "size"), "running-totals")
 
 
 def _look(totals: DataFrame, cells: int):
