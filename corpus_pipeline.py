@@ -27,7 +27,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = near_duplicates(numbered, id_col="_row").join(numbered.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("own_id")), "doc_id")
     order = F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", F.col("doc_id").alias("row"))
     stay = groups.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row"))
-    return numbered.join(settle(stay, "survivors"), "_row", "left_semi").select(docs.columns)
+    # rows are unique keys: one way of joining at every size, without skew
+    return numbered.join(settle(stay, "survivors").hint("merge"), "_row", "left_semi").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
