@@ -39,17 +39,25 @@ def _hits(pieces: Column, inside: str) -> Column:
     return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
-def find_all(text: Column, java: str | Column) -> Column:
-    """All leftmost non-overlapping matches as ``array<struct<s,e,cs,ce>>`` (bytes, code points)."""
-    clean = F.translate(text, OPEN + SECRET + AFTER + CLOSE, _ASIDE)
+def unmarked(text: Column) -> Column:
+    """The text with its own marks moved aside: what the scans take. Offsets and lengths stay the same."""
+    return F.when(text.rlike(f"[{OPEN}{SECRET}{AFTER}{CLOSE}]"), F.translate(text, OPEN + SECRET + AFTER + CLOSE, _ASIDE)).otherwise(text)
+
+
+def find_all(clean: Column, java: str | Column) -> Column:
+    """All leftmost non-overlapping matches in an unmarked text as ``array<struct<s,e,cs,ce>>`` (bytes, code points)."""
     marked = F.regexp_replace(clean, F.lit(java) if isinstance(java, str) else java, F.lit(f"{OPEN}$0{CLOSE}"))
-    return _hits(F.split(marked, f"[{OPEN}{CLOSE}]", -1), HIT)
+    return let(marked, lambda m: F.when(F.contains(m, F.lit(OPEN)), _hits(F.split(m, f"[{OPEN}{CLOSE}]", -1), HIT)).otherwise(none_of(HIT)))
 
 
-def find_parts(text: Column, java: str) -> Column:
+def find_parts(clean: Column, java: str) -> Column:
     """As :func:`find_all` for a pattern of three groups: adds the span of the second as ``ss, se, scs, sce``."""
-    clean = F.translate(text, OPEN + SECRET + AFTER + CLOSE, _ASIDE)
     marked = F.regexp_replace(clean, F.lit(java), F.lit(f"{OPEN}$1{SECRET}$2{AFTER}$3{CLOSE}"))
+    kind = "struct<s:int,e:int,cs:int,ce:int,ss:int,se:int,scs:int,sce:int>"
+    return let(marked, lambda m: F.when(F.contains(m, F.lit(OPEN)), _parts(m)).otherwise(none_of(kind)))
+
+
+def _parts(marked: Column) -> Column:
     pieces = F.split(marked, f"[{OPEN}{SECRET}{AFTER}{CLOSE}]", -1)  # outside, before, secret, after, outside, ...
     ends = F.aggregate(
         pieces,

@@ -58,7 +58,7 @@ def shannon_entropy(value: Column) -> Column:
         return runs
 
     part = lambda k, n: F.when(k > 0, -(k / n) * F.log2(k / n)).otherwise(0.0)
-    return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(let(F.array_sort(F.split(value, "")), entropy))
+    return F.when(F.length(value) == 0, F.lit(0.0)).otherwise(let(F.sort_array(F.split(value, "")), entropy))
 
 
 VALIDATORS = {"luhn": luhn_valid, "iban": iban_valid, "phone": phone_valid}

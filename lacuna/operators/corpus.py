@@ -160,7 +160,8 @@ def find_needles(text: Column, needle: Column | str) -> Column:
     """All occurrences of a literal as ``array<struct<s,e,cs,ce>>``."""
     import re
 
-    return find_all(text, re.escape(needle)) if isinstance(needle, str) else let(needle, lambda n: find_all(text, F.concat(F.lit("\\Q"), n, F.lit("\\E"))))
+    java = F.lit(re.escape(needle)) if isinstance(needle, str) else F.concat(F.lit("\\Q"), needle, F.lit("\\E"))
+    return let(java, lambda n: find_all(text, n))
 
 
 def casing(text: Column, how: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.functions.columns import HIT, any_contains, claim, find_all, find_parts, let, none_of
+from lacuna.functions.columns import HIT, any_contains, claim, find_all, find_parts, let, none_of, unmarked
 from lacuna.functions.dialect import to_java
 from lacuna.functions.validators import VALIDATORS, shannon_entropy
 
@@ -19,22 +19,28 @@ def _cut(text: Column, a: Column, b: Column) -> Column:
     return F.substring(text, a + 1, b - a)
 
 
-def pattern_spans(text: Column, pattern: Pattern) -> Column:
+def pattern_spans(text: Column, pattern: Pattern, clean: Column | None = None) -> Column:
     """Valid matches of one pattern, in document order. A match that fails its check still uses up its text."""
+    if clean is None:
+        return let(unmarked(text), lambda c: pattern_spans(text, pattern, c))
+    java = to_java(pattern.regex)
     hits = F.transform(
-        find_all(text, to_java(pattern.regex)),
+        find_all(clean, f"(?={pattern.first}){java}" if pattern.first else java),
         lambda h: F.struct(F.lit(pattern.type).alias("type"), h["s"].alias("start"), h["e"].alias("end"), _cut(text, h["cs"], h["ce"]).alias("text"), h["cs"].alias("cstart"), h["ce"].alias("cend")),
     )
     if pattern.validator:
         hits = F.filter(hits, lambda h: VALIDATORS[pattern.validator](h["text"]))
+    gate = F.lit(True)
     if pattern.needs:
-        hits = F.when(any_contains(text, pattern.needs), hits).otherwise(none_of(SPAN))
-    return hits
+        gate = gate & any_contains(text, pattern.needs)
+    if pattern.hint:
+        gate = gate & text.rlike(pattern.hint)
+    return F.when(gate, hits).otherwise(none_of(SPAN))
 
 
 def pattern_stage(text: Column, patterns: tuple[Pattern, ...] = PATTERNS) -> Column:
     """Spans of all patterns: by priority, then position, each claims its text; returned in document order."""
-    found = F.concat(*(pattern_spans(text, p) for p in by_priority(patterns)))
+    found = let(unmarked(text), lambda clean: F.concat(*(pattern_spans(text, p, clean) for p in by_priority(patterns))))
     return let(found, lambda c: F.when(F.size(c) <= 1, c).otherwise(in_order(claim(c, SPAN, "start", "end"))))
 
 
@@ -78,18 +84,18 @@ def _line_has(text: Column, a: Column, b: Column, words: tuple[str, ...]) -> Col
 _STEMS = {"PASSWORD": ("pass",), "GENERIC_API_KEY": ("access", "auth", "api", "credential", "creds", "key", "secret", "token"), "HEROKU_API_KEY": ("heroku",)}
 
 
-def rule_spans(text: Column, rule: Rule, low: Column) -> Column:
+def rule_spans(text: Column, rule: Rule, low: Column, clean: Column) -> Column:
     """Candidates of one rule in document order: redacted span, and the full match (fs, fe) that it claims."""
     if rule.before:
         hits = F.transform(
-            find_parts(text, to_java(rule.regex)),
+            find_parts(clean, to_java(rule.regex)),
             lambda h: F.struct(
                 F.lit(rule.type).alias("type"), h["ss"].alias("start"), h["se"].alias("end"), _cut(text, h["scs"], h["sce"]).alias("text"), h["scs"].alias("cstart"), h["sce"].alias("cend"), h["s"].alias("fs"), h["e"].alias("fe"),
             ),
         )
     else:
         hits = F.transform(
-            find_all(text, to_java(rule.secret)),
+            find_all(clean, to_java(rule.secret)),
             lambda h: F.struct(F.lit(rule.type).alias("type"), h["s"].alias("start"), h["e"].alias("end"), _cut(text, h["cs"], h["ce"]).alias("text"), h["cs"].alias("cstart"), h["ce"].alias("cend"), h["s"].alias("fs"), h["e"].alias("fe")),
         )
     if rule.context:
@@ -133,12 +139,12 @@ _ORDERED = "struct<ord:int,fs:int,fe:int,type:string,start:int,end:int,text:stri
 _SPAN_FIELDS = ("type", "start", "end", "text", "cstart", "cend")
 
 
-def plain_rule_spans(text: Column, rules: tuple[Rule, ...]) -> Column:
+def plain_rule_spans(text: Column, rules: tuple[Rule, ...], clean: Column) -> Column:
     """Accepted matches of all plain rules. Only rules of which a needed string is there are tried."""
     tried = F.filter(_rule_table(rules), lambda r: F.exists(r["needs"], lambda n: F.contains(text, n)))
 
     def hits(r: Column) -> Column:
-        found = F.transform(find_all(text, r["regex"]), lambda h: F.struct(
+        found = F.transform(find_all(clean, r["regex"]), lambda h: F.struct(
             r["ord"].alias("ord"), h["s"].alias("fs"), h["e"].alias("fe"), r["type"].alias("type"), h["s"].alias("start"), h["e"].alias("end"), _cut(text, h["cs"], h["ce"]).alias("text"), h["cs"].alias("cstart"), h["ce"].alias("cend")))
 
         def keep(h: Column) -> Column:
@@ -160,13 +166,16 @@ def _any_secret(text: Column, low: Column, rules: tuple[Rule, ...]) -> Column:
 
 def secret_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Accepted matches of all rules, by declaration order, then position."""
-    low = F.lower(text)
     order = lambda k: lambda h: F.struct(F.lit(k).alias("ord"), h["fs"].alias("fs"), h["fe"].alias("fe"), *(h[f].alias(f) for f in _SPAN_FIELDS))
-    passing = lambda rule: F.filter(rule_spans(text, rule, low), lambda h: accepted(h, rule))
-    parts = [F.transform(passing(r), order(k)) for k, r in enumerate(rules) if not _plain(r)]
-    if any(map(_plain, rules)):
-        parts.append(plain_rule_spans(text, rules))
-    return F.when(_any_secret(text, low, rules), F.sort_array(F.concat(*parts))).otherwise(none_of(_ORDERED))
+
+    def every(low: Column, clean: Column) -> Column:
+        passing = lambda rule: F.filter(rule_spans(text, rule, low, clean), lambda h: accepted(h, rule))
+        parts = [F.transform(passing(r), order(k)) for k, r in enumerate(rules) if not _plain(r)]
+        if any(map(_plain, rules)):
+            parts.append(plain_rule_spans(text, rules, clean))
+        return F.sort_array(F.concat(*parts))
+
+    return let(F.lower(text), lambda low: F.when(_any_secret(text, low, rules), let(unmarked(text), lambda clean: every(low, clean))).otherwise(none_of(_ORDERED)))
 
 
 def secret_stage(text: Column, taken: Column, rules: tuple[Rule, ...] = RULES) -> Column:

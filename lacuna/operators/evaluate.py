@@ -69,10 +69,11 @@ def ratios(tp: Column, n_expected: Column, n_predicted: Column) -> dict[str, Col
 
 def prf(cases: DataFrame, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
     """One row per type and one (type null) over all, in one pass."""
-    matched = cases.withColumn("m", match_spans(F.col(expected), F.col(predicted)))
-    e = matched.select(F.explode(F.arrays_zip(F.col(expected).alias("s"), F.col("m").alias("m"))).alias("x")).select(F.col("x.s.type").alias("type"), F.lit(1).alias("e"), F.lit(0).alias("p"), (F.col("x.m") >= 0).cast("int").alias("tp"))
-    p = matched.select(F.explode(predicted).alias("x")).select(F.col("x.type").alias("type"), F.lit(0).alias("e"), F.lit(1).alias("p"), F.lit(0).alias("tp"))
-    sums = e.unionByName(p).rollup("type").agg(F.sum("tp").alias("tp"), F.sum("e").alias("n_expected"), F.sum("p").alias("n_predicted"))
+    matched = cases.select(F.col(expected).alias("e"), F.col(predicted).alias("p")).select("e", "p", match_spans(F.col("e"), F.col("p")).alias("m"))
+    row = lambda s, e, p, tp: F.struct(s["type"].alias("type"), F.lit(e).alias("e"), F.lit(p).alias("p"), tp.alias("tp"))
+    rows = F.concat(F.transform(F.arrays_zip("e", "m"), lambda x: row(x["e"], 1, 0, (x["m"] >= 0).cast("int"))), F.transform("p", lambda x: row(x, 0, 1, F.lit(0))))
+    tall = matched.select(F.explode_outer(rows).alias("x")).where("x is not null").select("x.*")
+    sums = tall.rollup("type").agg(F.sum("tp").alias("tp"), F.sum("e").alias("n_expected"), F.sum("p").alias("n_predicted"))
     return sums.withColumns(ratios(F.col("tp"), F.col("n_expected"), F.col("n_predicted")))
 
 
