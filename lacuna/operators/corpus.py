@@ -75,8 +75,8 @@ def sample_rows(rows: DataFrame, n: int, seed: int | str, id_col: str) -> DataFr
 def label_distribution(labels: DataFrame, col: str = "label") -> DataFrame:
     """Count and share of each label."""
     counts = labels.groupBy(col).agg(F.count("*").alias("n"))
-    total = labels.agg(F.count("*").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(col, "n", (F.col("n") / F.col("total")).alias("share"))  # one row of totals
+    total = F.sum("n").over(W.partitionBy(F.lit(0)))  # over the labels' counts: as many rows as there are labels
+    return counts.withColumn("share", F.col("n") / total)
 
 
 def stratum(mask: Column) -> Column:
