@@ -511,6 +511,46 @@ def test_contaminations_against_brute_force(spark, odd):
     assert sum(len(b.ids) for b in small) == 10
 
 
+def test_near_copies_are_all_pairs_of_similarity(spark, tmp_path):
+    """Edited copies by up to a fifth of their shingles, chains of edits, and pairs just below, against all pairs."""
+    import corpus_pipeline as cp
+
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    rng = random.Random(17)
+    texts = []
+    for _ in range(60):
+        w = prose(rng, rng.choice([24, 60, 150, 400])).split()
+        for _ in range(rng.randint(1, 5)):
+            texts.append(" ".join(w))
+            w = list(w)
+            for _ in range(rng.randint(1, max(1, len(w) // 30))):
+                w[rng.randrange(len(w))] = rng.choice(["mole", "newt", "otter"])
+    base = prose(rng, 300).split()
+    texts += [" ".join([*base[:k], "heron", *base[k + 1 :]]) for k in range(0, 300, 2)]  # one large group
+    sets = dict(enumerate(map(shingles, texts)))
+    up = {k: k for k in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    far = 0
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+            far += (simhash.fingerprint(texts[a].encode()) ^ simhash.fingerprint(texts[b].encode())).bit_count() > 4
+    assert far > 20  # near copies that op7's radius does not reach
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], DOCS)
+    kept = cp.near_duplicate_stage(spark, written(docs, tmp_path / "copies"), SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({root(k) for k in sets})
+
+
 # -- pipeline ----------------------------------------------------------------------------------------------------------------------------
 
 
