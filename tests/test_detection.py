@@ -13,7 +13,7 @@ import duckdb
 from lacuna.functions.dialect import to_java
 from lacuna.functions.register import redact_view, register
 from lacuna.functions.validators import iban_valid, luhn_valid, phone_valid, shannon_entropy
-from lacuna.operators.detect import suppressed
+from lacuna.operators.detect import secret_spans, suppressed
 from lacuna.operators.entities import entity_stage, guard_model, windows
 from lacuna.operators.ruleset import ALL_TYPES, PATTERNS, RULES, STOP_WORDS, with_stop_words
 from lacuna.plans.fixtures import SAMPLES
@@ -185,3 +185,11 @@ def test_entity_stage(spark, tmp_path):
     for a, b in spans:
         text.encode()[a:b].decode()
     assert windows("short", 3, 100) == [(0, 5)]
+
+
+def test_all_stop_words_of_the_reference(spark):
+    rule = next(r for r in RULES if r.type == "GENERIC_API_KEY")
+    assert len(rule.allow.stop_words) == len(set(rule.allow.stop_words)) == 281 and {*STOP_WORDS, "xxxxxx", "000000"} == set(rule.allow.stop_words)
+    values = ["my-server-01-abcd", "user-token-1234", "abstract-01-2345", "world-2024-0001", "qx7-serverless-9"]
+    rows = spark.createDataFrame([(k, f"key = {v}") for k, v in enumerate(values)], "doc_id long, text string")
+    assert [r["doc_id"] for r in rows.select("doc_id", secret_spans(F.col("text"), (rule,)).alias("s")).where("size(s) > 0").collect()] == [4]
