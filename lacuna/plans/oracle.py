@@ -146,6 +146,8 @@ BIO = f"""WITH t AS (SELECT *, CASE WHEN start < "end" AND score >= 0.5 AND labe
  f AS (SELECT *, CASE WHEN type IS NOT NULL AND (label[1] = 'B' OR lag(type) OVER w IS DISTINCT FROM type) THEN 1 ELSE 0 END AS first FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
  i AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM f)
  SELECT doc_id, min(type) AS type, min(start)::INT AS start, max("end")::INT AS "end", min(score) AS score FROM i WHERE type IS NOT NULL GROUP BY doc_id, island"""
+#: Entities of all documents with their texts.
+ENTITY_ROWS = f"""SELECT d.doc_id, d.text, b.type, b.start AS s, b."end" AS e FROM documents d JOIN ({BIO}) b ON d.doc_id = b.doc_id"""
 _RANK = "md5('42-' || doc_id::VARCHAR)"
 
 
@@ -185,6 +187,10 @@ def oracle_sql() -> dict[str, str]:
           SELECT doc_id, type, s, e, coalesce(type = lag(type) OVER w AND regexp_matches(text[lag(e) OVER w + 1:s], '^,?\\s*[A-Z0-9]{{0,6}}\\s*,?\\s*$'), false) AS fits FROM {_values(ENTITIES, 'doc_id, text, type, s, e')} WINDOW w AS (PARTITION BY doc_id ORDER BY s))) GROUP BY doc_id, island""",
         "house_number_extend": f"""SELECT doc_id, type, (CASE WHEN type = 'ADDRESS' AND regexp_matches(before, '(?:^|\\s)(\\d{{1,6}}[A-Za-z]?)\\s*$') THEN s - length(regexp_extract(before, '(?:^|\\s)(\\d{{1,6}}[A-Za-z]?\\s*)$', 1)) ELSE s END)::INT AS start, e AS "end"
           FROM (SELECT *, text[:s] AS before FROM {_values(ENTITIES, 'doc_id, text, type, s, e')})""",
+        "merge_adjacent_documents": f"""SELECT doc_id, min(type) AS type, min(s)::INT AS start, max(e)::INT AS "end" FROM (SELECT *, sum(CASE WHEN fits THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM (
+          SELECT doc_id, type, s, e, coalesce(type = lag(type) OVER w AND regexp_matches(text[lag(e) OVER w + 1:s], '^,?\\s*[A-Z0-9]{{0,6}}\\s*,?\\s*$'), false) AS fits FROM ({ENTITY_ROWS}) WINDOW w AS (PARTITION BY doc_id ORDER BY s))) GROUP BY doc_id, island""",
+        "house_number_documents": f"""SELECT doc_id, type, (CASE WHEN type = 'ADDRESS' AND regexp_matches(before, '(?:^|\\s)(\\d{{1,6}}[A-Za-z]?)\\s*$') THEN s - length(regexp_extract(before, '(?:^|\\s)(\\d{{1,6}}[A-Za-z]?\\s*)$', 1)) ELSE s END)::INT AS start, e::INT AS "end"
+          FROM (SELECT *, text[:s] AS before FROM ({ENTITY_ROWS}))""",
         "token_softmax_argmax": """SELECT vec_id, (len(embedding) - list_position(list_reverse(embedding), list_max(embedding)))::INT AS label_id, round(1 / list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE - list_max(embedding)::DOUBLE))), 6) AS score FROM embeddings""",
         "map_labels": f"SELECT p_partkey, label, CASE {' '.join(f'WHEN label = {lit(k)} THEN {lit(v)}' for k, v in LABELS.items() if v)} END AS type FROM (SELECT p_partkey, {_pick_label('p_partkey')} AS label FROM part)",
         "dedup_documents": "SELECT min(doc_id) AS doc_id, text, lang FROM documents GROUP BY text, lang",

@@ -165,6 +165,21 @@ def _houses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.explode_spans(_entity_rows(spark).withColumn("spans", spans.extend_house_numbers(F.col("text"), F.col("spans")))).drop("text")
 
 
+def document_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the entities decoded from their tokens (offsets in characters)."""
+    one = F.struct("type", "start", "end", F.lit(None).cast("string").alias("text"), F.col("start").alias("cstart"), F.col("end").alias("cend"))
+    found = _bio(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(one), lambda a, b: a["start"] - b["start"]).cast(f"array<{SPAN}>").alias("spans"))
+    return docs(spark, sf_dir).select("doc_id", "text").join(found, "doc_id")
+
+
+def _adjacent_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.explode_spans(document_entities(spark, sf_dir).withColumn("spans", spans.merge_adjacent(F.col("text"), F.col("spans")))).drop("text")
+
+
+def _houses_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.explode_spans(document_entities(spark, sf_dir).withColumn("spans", spans.extend_house_numbers(F.col("text"), F.col("spans")))).drop("text")
+
+
 def _softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = entities.softmax_argmax(F.col("embedding").cast("array<double>"))
     return table(spark, sf_dir, "embeddings").select("vec_id", best.alias("b")).select("vec_id", "b.label_id", F.round("b.score", 6).alias("score"))
@@ -254,7 +269,8 @@ def queries() -> dict[str, Query]:
         "merge_overlaps_antijoin": _anti_join, "disable_types": lambda s, d: found_rows(texts(s, d), Config(disabled=("EMAIL", "JWT", "CREDIT_CARD"))),
         "redact_fast": redact_fast, "apply_redactions": _pages, "redact_conversations": _conversations, "fully_covered": _covered,
         "type_catalog": lambda s, d: s.createDataFrame([(t, k) for k, t in enumerate(ALL_TYPES)], "type string, ord int"),
-        "gap_chunks": _gaps, "bio_decode": lambda s, d: _bio(s, d).withColumn("score", F.round("score", 6)), "ner_topk_spans": _topk, "nms_by_score": _nms, "merge_adjacent_spans": _adjacent, "house_number_extend": _houses, "token_softmax_argmax": _softmax,
+        "gap_chunks": _gaps, "bio_decode": lambda s, d: _bio(s, d).withColumn("score", F.round("score", 6)), "ner_topk_spans": _topk, "nms_by_score": _nms, "merge_adjacent_spans": _adjacent, "house_number_extend": _houses,
+        "merge_adjacent_documents": _adjacent_documents, "house_number_documents": _houses_documents, "token_softmax_argmax": _softmax,
         "map_labels": lambda s, d: _labelled_parts(s, d).withColumn("type", corpus.map_label(F.col("label"))), "dedup_documents": _dedup,
         "label_distribution": lambda s, d: corpus.label_distribution(_labelled_parts(s, d)).withColumn("share", F.round("share", 6)),
         "stratified_split": _split, "carve_test": lambda s, d: corpus.carve_test(docs(s, d).select("doc_id", "lang"), "lang", "doc_id"), "sample_documents": lambda s, d: corpus.sample_rows(docs(s, d).select("doc_id"), 100, 42, "doc_id"),

@@ -88,3 +88,16 @@ def test_generated_rows_hold_their_values(spark):
     rows = generate(spark, 300).collect()
     assert all(r["source_text"][m["start"] : m["end"]] == m["value"] for r in rows for m in r["privacy_mask"])
     assert [r["uid"] for r in rows][:2] == [1_000_000, 1_000_001] and len({r["source_text"] for r in rows}) > 100
+
+
+def test_entity_operators_read_the_documents(spark):
+    """Every decoded entity of every document goes in, and some are joined or moved."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    every = queries()["bio_decode"](spark, SF).select("doc_id", "type", "start", "end")
+    ids = {r["doc_id"] for r in every.collect()}
+    assert len(ids) > d.count() // 2
+    joined = queries()["merge_adjacent_documents"](spark, SF)
+    assert {r["doc_id"] for r in joined.collect()} == ids and 0 < joined.count() < every.count()
+    moved = queries()["house_number_documents"](spark, SF)
+    assert {r["doc_id"] for r in moved.collect()} == ids and moved.count() == every.count()
+    assert sorted((r["doc_id"], r["end"]) for r in moved.collect()) == sorted((r["doc_id"], r["end"]) for r in every.collect())
