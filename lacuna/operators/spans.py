@@ -115,9 +115,25 @@ def split_lines(text: Column) -> Column:
 
 
 def best_by_score(spans: Column, kind: str) -> Column:
-    """Greedily by falling score (ties: by start), without overlaps, then by start."""
+    """Greedily by falling score (ties: by start), without overlaps, then by start.
+
+    What is kept lies in bins by start, at least as wide as the longest span, so that only three bins can overlap a span.
+    """
     ranked = F.array_sort(spans, lambda a, b: F.when(a["score"] != b["score"], F.signum(b["score"] - a["score"]).cast("int")).otherwise(a["start"] - b["start"]))
-    return in_order(claim(ranked, kind, "start", "end"))
+    least, most = F.array_min(F.transform(spans, lambda s: s["start"])), F.array_max(F.transform(spans, lambda s: s["start"]))
+    wide = F.greatest(F.array_max(F.transform(spans, lambda s: s["end"] - s["start"])), F.ceil((most - least) / 256).cast("int"), F.lit(1))
+    grid = F.struct(least.alias("from"), wide.alias("wide"), (F.floor((most - least) / wide) + 3).cast("int").alias("n"))
+
+    def fold(g: Column) -> Column:
+        def step(bins: Column, s: Column) -> Column:
+            at = F.floor((s["start"] - g["from"]) / g["wide"]).cast("int") + 2  # an empty bin on either side
+            clear = ~F.exists(F.flatten(F.slice(bins, at - 1, 3)), lambda x: overlap(x, s))
+            more = F.concat(F.slice(bins, F.lit(1), at - 1), F.array(F.array_append(F.element_at(bins, at), s)), F.slice(bins, at + 1, g["n"]))
+            return F.when(clear, more).otherwise(bins)
+
+        return in_order(F.flatten(F.aggregate(ranked, F.array_repeat(none_of(kind), g["n"]), step)))
+
+    return F.when(F.size(spans) == 0, none_of(kind)).otherwise(let(grid, fold))
 
 
 def first_spans(spans: Column, most: int = 32) -> Column:

@@ -148,7 +148,7 @@ def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = "struct<start:int,end:int,score:double>"
     s = tokens(spark, sf_dir).where("start < end").groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("end") + 3).alias("end"), "score")).alias("spans"))
-    return s.select("doc_id", F.explode(spans.first_spans(spans.best_by_score(F.slice(F.array_sort("spans"), 1, 200), kind))).alias("m")).select("doc_id", "m.start", "m.end")
+    return s.select("doc_id", F.explode(spans.first_spans(spans.best_by_score(F.array_sort("spans"), kind))).alias("m")).select("doc_id", "m.start", "m.end")
 
 
 def _entity_rows(spark: SparkSession) -> DataFrame:

@@ -101,3 +101,22 @@ def test_entity_operators_read_the_documents(spark):
     moved = queries()["house_number_documents"](spark, SF)
     assert {r["doc_id"] for r in moved.collect()} == ids and moved.count() == every.count()
     assert sorted((r["doc_id"], r["end"]) for r in moved.collect()) == sorted((r["doc_id"], r["end"]) for r in every.collect())
+
+
+def test_best_by_score_of_whole_documents(spark, monkeypatch):
+    """All kept spans of every document, those after the 200th too."""
+    from lacuna.operators import spans
+
+    monkeypatch.setattr(spans, "first_spans", lambda s: s)
+    by: dict[int, list] = {}
+    for t in tokens(spark, SF).where("start < end").collect():
+        by.setdefault(t["doc_id"], []).append((t["start"], t["end"] + 3, t["score"]))
+    want = Counter()
+    for d, rows in by.items():
+        taken: set[int] = set()
+        for s, e, _ in sorted(rows, key=lambda x: (-x[2], x[0])):
+            if taken.isdisjoint(range(s, e)):
+                taken |= set(range(s, e))
+                want[d, s, e] += 1
+    assert max(map(len, by.values())) > 2_000
+    assert Counter((r["doc_id"], r["start"], r["end"]) for r in queries()["nms_by_score"](spark, SF).collect()) == want
