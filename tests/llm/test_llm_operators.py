@@ -464,6 +464,28 @@ def test_loopy_messages_are_exact_on_trees():
     assert np.allclose(got, p / p.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def test_thirty_mentions_share_what_one_of_them_shows():
+    """However far apart, and without evidence of their own; messages pass until they settle."""
+    text = "seen 192.168.100.101 here " + " ".join(f"and word {k % 7} then 192-168-100-101 again" for k in range(30))
+    toks = pii.tokens(text)
+    at = [k for k, (a, b) in enumerate(toks) if pii.shared_form(text[a:b])]
+    assert len(at) == 31
+    field, seen = pii.trained(), np.full(len(toks), -1)
+    seen[at[0]] = 2
+    p = field.marginals(np.zeros((len(toks), len(pii.features("1")))), seen, *pii.graph(text, toks))
+    assert p[at[1], 2] > 0.5 and np.allclose(p[at[1:], 2], p[at[1], 2], atol=1e-4)
+    card = "card 378282246310005 here " + " ".join("and then 3782_822463_10005 again" for _ in range(30))
+    assert len(pii.find([card], field)[0][1]) == 31
+    line = [(k, k + 1) for k in range(29)]  # a long line of edges: exact only once settled
+    strong = pii.SkipChain(field.node, field.chain, np.eye(5) * 6)
+    seen = np.full(30, -1)
+    seen[0] = 2
+    far = strong.marginals(np.zeros((30, field.node.shape[0])), seen, [], line)[29, 2]
+    same, e = np.exp(6.0), 29
+    gain = ((same - 1) / (same + 4)) ** e
+    assert np.isclose(far, 0.2 + 0.8 * gain, atol=1e-4)
+
+
 def test_personal_data_odd_tables(spark, odd):
     more = spark.createDataFrame([(70, "x@y.zz é +49 170 1234567", "en", "a", 0), (71, "9" * 50_000 + "@" + "a." * 20_000, "en", "a", 0)], DOCS)
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more)
