@@ -23,7 +23,7 @@ def main(argv: list[str] | None = None) -> int:
     redact.add_argument("--dry-run", action="store_true", help="print the spans found and leave the text as it is")
     redact.add_argument("--fast", action="store_true", help="patterns and secrets only")
     redact.add_argument("--disable", default="", help="types to leave alone, separated by commas")
-    redact.add_argument("--model", help="folder of an entity model")
+    redact.add_argument("--model", help="folder of an entity model; only its type is checked, as the command runs no model (see Pipeline's backend)")
     args = parser.parse_args(argv)
     if not args.fast and args.model:
         guard_model(args.model)

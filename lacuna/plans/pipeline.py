@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.operators.detect import SPAN, pattern_stage, secret_stage
+from lacuna.operators.entities import Backend, entity_stage
 from lacuna.operators.ruleset import ALL_TYPES, PATTERNS, RULES, Pattern, Rule
 from lacuna.operators.spans import fully_covered, merge, only_types, redact
 from lacuna.functions.columns import none_of
@@ -60,9 +61,13 @@ def secrets_stage(config: Config) -> Stage:
 class Pipeline:
     config: Config = field(default_factory=Config)
     stages: tuple[Stage, ...] | None = None
+    backend: Backend | None = None
 
     def _stages(self) -> tuple[Stage, ...]:
-        return self.stages if self.stages is not None else (patterns_stage(self.config), secrets_stage(self.config))
+        if self.stages is not None:
+            return self.stages
+        entities = (entity_stage(self.backend),) if self.config.thorough and self.backend is not None else ()
+        return (patterns_stage(self.config), secrets_stage(self.config), *entities)
 
     def detect(self, docs: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
         """Adds the spans found by all stages. Per row only: no shuffle, batch and streaming alike."""

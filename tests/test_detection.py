@@ -193,3 +193,13 @@ def test_all_stop_words_of_the_reference(spark):
     values = ["my-server-01-abcd", "user-token-1234", "abstract-01-2345", "world-2024-0001", "qx7-serverless-9"]
     rows = spark.createDataFrame([(k, f"key = {v}") for k, v in enumerate(values)], "doc_id long, text string")
     assert [r["doc_id"] for r in rows.select("doc_id", secret_spans(F.col("text"), (rule,)).alias("s")).where("size(s) > 0").collect()] == [4]
+
+
+def test_thorough_adds_the_entity_stage(spark):
+    def backend(texts):
+        return [[(m.start(), m.end(), "NAME", 0.9) for m in re.finditer(rb"Ana", t.encode())] for t in texts]
+
+    df = spark.createDataFrame([("Ana wrote to a@b.co",)], "text string")
+    shown = lambda config: Pipeline(config, backend=backend).run(df).first()["redacted"]
+    assert shown(Config(thorough=True)) == "[REDACTED - NAME] wrote to [REDACTED - EMAIL]"
+    assert shown(Config()) == "Ana wrote to [REDACTED - EMAIL]"
