@@ -1,19 +1,22 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional Kneser-Ney models of how words are spelled.
 
-Two models, toxic and ordinary, are compared token by token:
+Two models, toxic and ordinary, give every character of a word (and its end) a probability after the up to
+``ORDER - 1`` characters before it in the word:
 
-* order two: (c(h, w) - D)+ / c(h) + lambda(h) * order one, with lambda(h) from the pooled counts of both classes;
-* order one: (N(. w) - D)+ / N(. .) + lambda * order zero, where N(. w) counts the distinct words seen before w;
-* order zero, shared by both classes: relative frequency of w over all documents, labelled or not.
+* the class's own order: (c(h, x) - D)+ / c(h) + lambda(h) * shared(x | h without its first character), where c counts
+  labelled documents of the class times their distinct words, and lambda(h) is the mass that the discount D took;
+* the shared orders below, the same for both classes: interpolated Kneser-Ney over continuation counts, the number of
+  distinct words, of all documents, labelled or not, that an n-gram was seen in; below them, an even share for every
+  character and for one never seen.
 
-So a rare expression, which neither class has seen, scores the same in both and cancels. The log-likelihoods are
-compared per token (length-normalised) over the whole text and over its most toxic stretch of 1, 4, 16 and 64
-tokens; a logistic curve over the five comparisons, fitted on labelled rows that the counts have not seen, gives
-the score.
+Both sum to 1 after every context. A rare expression that neither class has seen rests on the same shared counts in
+both and cancels but for the back-off masses. A word's comparison is the difference of its two log-likelihoods. A
+text is compared by two numbers normalised by its length: the mean difference per word, and the share of words whose
+difference is above ``DECISIVE``. A logistic curve over them gives the score. It is fitted on the labelled documents,
+each compared by models that have not counted its own fold.
 
-Bounds: counts are fitted on at most ``FIT_DOCS`` labelled documents a class (those of least hash), the curve on
-``CURVE_DOCS`` a class, and a model keeps at most ``MOST_ENTRIES`` entries, the most frequent ones; that is all
-that is sent to tasks. Order-zero counts cover every document.
+Bound: models and curve are fitted on at most ``FIT_DOCS`` labelled documents a class (those of least hash). What is
+sent to tasks are the n-grams of those documents; nothing else is left out of the counts.
 """
 
 from __future__ import annotations
@@ -24,187 +27,266 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, settle, ship
 
 FOLDS = 5
-#: Taken from every count. High, as a class has few documents and copies of them: what is seen no more often than
-#: this in a class rests on the next lower order.
-DISCOUNT = 4.0
+ORDER = 5
+#: Taken from every count of a class. High, as copies of few documents make up much of a class.
+DISCOUNT = 3.0
+#: Taken from every shared count.
+SHARED_DISCOUNT = 0.75
 FIT_DOCS = 20_000
-CURVE_DOCS = 5_000
-MOST_ENTRIES = 2_000_000
-#: Entries seen less often in the fit are left to the shared counts.
-LEAST_WORD, LEAST_PAIR = 2, 30
-STRETCHES = (1, 4, 16, 64)
-#: Where the curve starts from, and how strongly it is held there: bias, whole text, stretches.
-PRIOR = np.array([-7.0, 0.0, 2.0, 0.0, 0.0, 0.0])
-HOLD = 0.05
+#: A word is decisive if it is e**3, some twenty times, likelier in one class.
+DECISIVE = 3.0
+#: Ridge of the curve.
+HOLD = 0.1
+BEGIN, END = "^", "$"  # no word holds them
 CACHED_WORDS = 400_000
 FLUSH_WORDS = 1_000_000
 _WORD = re.compile(r"\w+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def _hash(w: str) -> int:
-    h = xxhash.xxh64_intdigest(w.encode(), 7)
-    return h - (1 << 64) if h >> 63 else h
+def fold(id_col: str) -> Column:
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def fold(id_col: str):
-    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS))
+def grams(word: str, order: int) -> list[str]:
+    """Every character of the word and its end, with the up to ``order - 1`` characters before it."""
+    s = f"{BEGIN}{word}{END}"
+    return [s[max(0, i - order + 1) : i + 1] for i in range(1, len(s))]
 
 
-def shared_counts(texts: DataFrame) -> DataFrame:
-    """``(w, n)``: how often each word (by hash) comes in all texts, summed in the tasks before the shuffle."""
+# -- counts ---------------------------------------------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([_hash(w) for w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["w", "n"])
-            seen.clear()
-            return out
+def distinct_words(texts: DataFrame) -> DataFrame:
+    """``(w)``: the distinct words of all texts; repeats go in the tasks, before the shuffle."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for b in batches:
             for t in b.column(0).to_pylist():
                 seen.update(words(t))
                 if len(seen) > FLUSH_WORDS:
-                    yield flush()
-        yield flush()
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["w"])
+                    seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], ["w"])
 
-    return texts.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "w string").distinct()
 
 
-def pair_counts(labelled: DataFrame) -> DataFrame:
-    """``(h, w, t, o)``: toxic and ordinary counts of neighbouring words; the first word follows hash 0."""
+def continuation_counts(vocabulary: DataFrame, order: int) -> DataFrame:
+    """``(g, n)``: in how many distinct words each n-gram of up to ``order`` characters comes (each place counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["g", "n"])
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                seen: tuple[Counter, Counter] = (Counter(), Counter())
-                for t, y in zip(b.column(0).slice(k, 500).to_pylist(), b.column(1).slice(k, 500).to_pylist()):
-                    ws = words(t)
-                    seen[1 if y else 0].update(zip(["", *ws], ws))
-                keys = list({**seen[0], **seen[1]})
-                known = {w: _hash(w) if w else 0 for pair in keys for w in pair}
-                cols = ([known[h] for h, _ in keys], [known[w] for _, w in keys], [seen[1][x] for x in keys], [seen[0][x] for x in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["h", "w", "t", "o"])
+            for w in b.column(0).to_pylist():
+                seen.update(grams(w, order))
+            if len(seen) > FLUSH_WORDS:
+                yield out()
+                seen.clear()
+        yield out()
+
+    longest = vocabulary.mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    ends = longest.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("g")), lambda k: F.substring("g", k, F.lit(order)))).alias("g"))
+    return ends.groupBy("g").agg(F.sum("n").alias("n"))
+
+
+def shared_model(counts: DataFrame, order: int) -> DataFrame:
+    """``(g, p)``: the shared probability of each n-gram's last character after the others, of n-grams seen and of
+    those whose context is seen (whose p is the back-off alone, and whose g is not in the table, are for the caller)."""
+    context = F.substring("g", F.lit(1), F.length("g") - 1)
+    counts = counts.withColumn("k", F.length("g")).withColumn("h", context)
+    after = settle(counts.groupBy("k", "h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")), "toxicity-contexts")
+    rows = counts.join(after, ["k", "h"])
+    first = after.where("k = 1").select((1 / (F.col("kinds") + 1)).alias("even"))
+    even = (first.first() or [1.0])[0]
+    d = SHARED_DISCOUNT
+    model = None
+    for k in range(1, order + 1):
+        own = rows.where(F.col("k") == k)
+        low = own.withColumn("low", F.lit(even)) if model is None else own.join(model.select(F.col("g").alias("rest"), F.col("p").alias("low")), F.substring("g", 2, order) == F.col("rest"))
+        at = low.select("g", (F.greatest(F.col("n") - d, F.lit(0.0)) / F.col("all") + d * F.col("kinds") / F.col("all") * F.col("low")).alias("p"))
+        at = settle(at, "toxicity-shared")
+        model = at if model is None else model.unionByName(at)
+    return model
 
-    return labelled.select("text", "toxic").mapInArrow(run, "h long, w long, t long, o long").groupBy("h", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+
+def class_counts(labelled: DataFrame) -> DataFrame:
+    """``(g, t1..t4, o1..o4)``: toxic and ordinary documents, by fold, times their distinct words, that hold each n-gram."""
+    kinds = [f"{c}{f}" for c in "to" for f in range(1, FOLDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 2_000):
+                part = b.slice(k, 2_000)
+                held: dict[str, Counter] = {}
+                for t, y, f in zip(*(c.to_pylist() for c in part.columns)):
+                    held.setdefault(f"{'t' if y else 'o'}{f}", Counter()).update(set(words(t)))
+                for kind, seen in held.items():
+                    found: Counter[str] = Counter()
+                    for w, n in seen.items():
+                        for g in grams(w, ORDER):
+                            found[g] += n
+                    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([kind] * len(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["g", "kind", "n"])
+
+    tall = labelled.select("text", F.col("toxic") > 0, "fold").mapInArrow(run, "g string, kind string, n long")
+    return tall.groupBy("g").agg(*(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in kinds))
+
+
+def class_models(own: DataFrame, shared: DataFrame) -> DataFrame:
+    """One row per n-gram of either class: its context ``h``, and for each fold f left out (0: none) the probabilities
+    ``t_f`` and ``o_f`` of its last character and the back-off masses ``lt_f`` and ``lo_f`` of the context."""
+    own = own.withColumn("h", F.substring("g", F.lit(1), F.length("g") - 1))
+    left = range(FOLDS)
+    count = lambda c, f: sum((F.col(f"{c}{k}") for k in range(1, FOLDS) if k != f), F.lit(0))
+    own = own.select("g", "h", *(count(c, f).alias(f"{c}_{f}") for c in "to" for f in left))
+    most = F.lit(DISCOUNT)
+    after = own.groupBy("h").agg(*(x for c in "to" for f in left for x in (F.sum(f"{c}_{f}").alias(f"all_{c}_{f}"), F.sum(F.least(F.col(f"{c}_{f}").cast("double"), most)).alias(f"taken_{c}_{f}"))))
+    low = shared.select(F.col("g").alias("rest"), "p")
+    rows = own.join(after, "h").join(low, F.substring("g", 2, ORDER) == F.col("rest"))
+
+    def of(c: str, f: int) -> list[Column]:
+        total, back = F.col(f"all_{c}_{f}"), F.coalesce(F.try_divide(F.col(f"taken_{c}_{f}"), F.col(f"all_{c}_{f}")), F.lit(1.0))
+        seen = F.coalesce(F.try_divide(F.greatest(F.col(f"{c}_{f}") - most, F.lit(0.0)), total), F.lit(0.0))
+        return [(seen + back * F.col("p")).alias(f"p{c}_{f}"), back.alias(f"l{c}_{f}")]
+
+    return rows.select("g", "h", "p", *(x for c in "to" for f in left for x in of(c, f)))
+
+
+# -- the model in a task ----------------------------------------------------------------------------------------
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in a row, and where each starts."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    return flat, np.cumsum([0, *map(len, texts)])[:-1]
+
+
+def _hashes(flat: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
+    """For each place, a hash of the up to ``most`` characters that end there; ``place`` counts from a text's start."""
+    out, power = np.zeros(len(flat), np.uint64), np.uint64(1)
+    code = flat.astype(np.uint64) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        for d in range(most):
+            out[d:] += np.where(place[d:] >= d, code[: len(code) - d] * power, np.uint64(0))
+            power *= _MIX
+    return out
+
+
+def _whole(texts: list[str]) -> np.ndarray:
+    """The hash of each text as a whole (none empty, none longer than ``ORDER``)."""
+    flat, starts = _codes(texts)
+    sizes = np.diff(np.r_[starts, len(flat)])
+    return _hashes(flat, np.arange(len(flat)) - np.repeat(starts, sizes), ORDER)[starts + sizes - 1] if len(texts) else np.zeros(0, np.uint64)
+
+
+class _Table:
+    """Hashes to rows of values; 0 for what is not there."""
+
+    def __init__(self, texts: list[str], values: np.ndarray) -> None:
+        key = _whole(texts)
+        order = np.argsort(key)
+        self.key, self.values = key[order], values[order].astype(np.float32)
+
+    def look(self, h: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.key):
+            return np.zeros(len(h), np.float32), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.key, h), len(self.key) - 1)
+        hit = self.key[at] == h
+        return np.where(hit, self.values[at, column], np.float32(0)), hit
 
 
 class Model:
-    """Log-likelihood ratios: of words, of pairs of known words, and the one of everything else."""
+    """Log-likelihood differences of words. Column 0 of the tables is the whole fit, column f the one without fold f."""
 
-    def __init__(self, word: np.ndarray, ratio: np.ndarray, pair: np.ndarray, pair_ratio: np.ndarray, rest: float) -> None:
-        order = np.argsort(word)
-        self.word, self.ratio = word[order], np.r_[rest, ratio[order]]
-        ids = np.searchsorted(self.word, pair) + 1 if len(pair) else np.zeros((0, 2), np.int64)
-        key = ids[:, 0] << 32 | ids[:, 1]
-        order = np.argsort(key)
-        self.pair, self.pair_ratio = key[order], pair_ratio[order]
-        self.first = np.zeros(len(word) + 1, bool)
-        self.second = np.zeros(len(word) + 1, bool)
-        self.first[ids[:, 0]] = self.second[ids[:, 1]] = True
-        self.curve = PRIOR
-        self.known: dict[str, int] = {}
+    def __init__(self, seen: _Table, back: _Table) -> None:
+        self.seen, self.back = seen, back
+        self.curve = np.zeros(3)
+        self.known: dict[int, dict[str, float]] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"known": {}}
 
-    def _ids(self, ws: list[str]) -> np.ndarray:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        if fresh := list(set(ws).difference(self.known)):
-            h = np.fromiter(map(_hash, fresh), np.int64, len(fresh))
-            at = np.searchsorted(self.word, h)
-            at[at == len(self.word)] = 0
-            hit = self.word[at] == h if len(self.word) else np.zeros(len(h), bool)
-            self.known.update(zip(fresh, np.where(hit, at + 1, 0).tolist()))
-        return np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-
-    def features(self, text: str | None) -> list[float]:
-        """Whole-text and stretch-wise log-likelihood ratios per token; all 0 for a text without words."""
+    def compare(self, ws: list[str], column: int = 0) -> np.ndarray:
+        """Toxic minus ordinary log-likelihood of each word."""
+        known = self.known.setdefault(column, {})
+        if len(known) > CACHED_WORDS:
+            known.clear()
+        if fresh := list(set(ws).difference(known)):
+            flat, starts = _codes([f"{BEGIN}{w}{END}" for w in fresh])
+            place = np.arange(len(flat)) - np.repeat(starts, np.diff(np.r_[starts, len(flat)]))
+            value, hit = self.seen.look(_hashes(flat, place, ORDER), column)
+            context = np.r_[np.uint64(0), _hashes(flat, place, ORDER - 1)[:-1]]
+            lost = np.flatnonzero(~hit)
+            value[lost] = self.back.look(context[lost], column)[0]
+            value[starts] = 0  # the beginning is given
+            known.update(zip(fresh, np.add.reduceat(value, starts, dtype=np.float64).tolist()))
+        return np.fromiter(map(known.__getitem__, ws), float, len(ws))
+
+    def features(self, text: str | None, column: int = 0) -> tuple[float, float]:
+        """Mean difference per word, and share of decisive words; 0 for a text without words."""
         ws = words(text)
         if not ws:
-            return [0.0] * (1 + len(STRETCHES))
-        ids = self._ids(ws)
-        llr = self.ratio[ids]
-        if len(self.pair):
-            at = np.flatnonzero(self.first[ids[:-1]] & self.second[ids[1:]])
-            key = ids[at] << 32 | ids[at + 1]
-            j = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
-            hit = self.pair[j] == key
-            llr[at[hit] + 1] = self.pair_ratio[j[hit]]
-        total = np.r_[0.0, np.cumsum(llr)]
-        out = [total[-1] / len(llr)]
-        for n in STRETCHES:
-            n = min(n, len(llr))
-            out.append(float((total[n:] - total[:-n]).max() / n))
-        return out
+            return 0.0, 0.0
+        v = self.compare(ws, column)
+        return float(v.mean()), float((v > DECISIVE).mean())
 
     def score(self, text: str | None) -> float:
-        z = float(self.curve[0] + np.dot(self.curve[1:], self.features(text)))
+        z = float(self.curve @ (1.0, *self.features(text)))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression held near ``PRIOR``, by Newton's method."""
-    x = np.column_stack([np.ones(len(x)), x]) if len(x) else np.zeros((0, len(PRIOR)))
-    w = PRIOR.copy()
+    """Logistic regression with a ridge on scaled numbers, by Newton's method; weights of 1 and of the numbers."""
+    mean, wide = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.column_stack([np.ones(len(x)), (x - mean) / wide])
+    w = np.zeros(z.shape[1])
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (y - p) - HOLD * (w - PRIOR)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + HOLD * np.eye(len(w)), g)
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + HOLD * np.eye(len(w)), z.T @ (y - p) - HOLD * w)
         w = w + step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-    return w
+    own = w[1:] / wide
+    return np.r_[w[0] - own @ mean, own]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    """None without a labelled document of either class in the fit."""
-    ship(docs.sparkSession)
+    """None without a labelled document with words of either class."""
+    spark = docs.sparkSession
+    ship(spark)
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.withColumn("fold", fold("doc_id")).where("fold <> 0")
-    pick = lambda which, y, most: known.where(which).where((F.col("toxic") > 0) if y else (F.col("toxic") <= 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = settle(pick("fold > 1", 1, FIT_DOCS).union(pick("fold > 1", 0, FIT_DOCS)).union(pick("fold = 1", 1, CURVE_DOCS)).union(pick("fold = 1", 0, CURVE_DOCS)), "toxicity-rows")
-    # at most 2 * (FIT_DOCS + CURVE_DOCS) rows of three numbers: small enough for every task
+    known = known.withColumn("fold", fold("doc_id").cast("int")).where("fold <> 0")
+    pick = lambda which: known.where(which).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
+    chosen = settle(pick("toxic > 0").union(pick("toxic <= 0")), "toxicity-rows")
+    # at most 2 * FIT_DOCS rows of three numbers: small enough for every task
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    labelled = settle(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold"), "toxicity-texts")
-    pairs = settle(pair_counts(labelled.where("fold > 1")), "toxicity-pairs")
-    uni = settle(pairs.groupBy("w").agg(F.sum((F.col("t") > 0).cast("long")).alias("t"), F.sum((F.col("o") > 0).cast("long")).alias("o")), "toxicity-words")
-    taken = lambda c: F.sum(F.least(F.col(c).cast("double"), F.lit(DISCOUNT)))
-    nt, no, st, so = uni.agg(F.sum("t"), F.sum("o"), taken("t"), taken("o")).first()
-    if not nt or not no:
+    labelled = settle(texts.join(F.broadcast(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), "fold"), "toxicity-texts")
+    own = settle(class_counts(labelled), "toxicity-classes")
+    t, o = own.agg(*(F.coalesce(F.sum(sum(F.col(f"{c}{k}") for k in range(1, FOLDS))), F.lit(0)) for c in "to")).first()
+    if not t or not o:
         return None
-    counts = settle(shared_counts(texts.select("text")), "toxicity-shared")
-    total, types = counts.agg(F.sum("n"), F.count("*")).first()
-
-    zero = (F.coalesce(F.col("n"), F.lit(0)) + 1) / F.lit(float(total + types))
-    one = lambda c, n, s: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / float(n) + s / n * F.col("p0")
-    word = settle(uni.join(counts, "w", "left").withColumn("p0", zero).select("w", (F.col("t") + F.col("o")).alias("seen"), one("t", nt, st).alias("pt"), one("o", no, so).alias("po")), "toxicity-order-one")
-    before = pairs.groupBy("h").agg(F.sum("t").alias("ht"), F.sum("o").alias("ho"), F.sum(F.least(F.col("t") + F.col("o"), F.lit(DISCOUNT))).alias("taken"))
-    two = lambda c, h, p: F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(h), F.lit(1)) + F.col("back") * F.col(p)
-    often = pairs.where(F.col("t") + F.col("o") >= LEAST_PAIR).where("h <> 0").join(before, "h").withColumn("back", F.col("taken") / (F.col("ht") + F.col("ho"))).join(word, "w")
-    pair = settle(often.select("h", "w", (F.col("t") + F.col("o")).alias("seen"), F.log(two("t", "ht", "pt") / two("o", "ho", "po")).alias("r")).orderBy(F.desc("seen"), "h", "w").limit(MOST_ENTRIES // 2), "toxicity-order-two")
-    p = pair.select("h", "w", "r").toArrow()
-    need = pair.select("w").union(pair.select("h")).distinct()
-    kept = word.where(F.col("seen") >= LEAST_WORD).orderBy(F.desc("seen"), "w").limit(MOST_ENTRIES // 2).select("w").union(need).distinct()
-    u = word.join(kept, "w").select("w", F.when(F.col("seen") >= LEAST_WORD, F.log(F.col("pt") / F.col("po"))).alias("r")).toArrow()
-    rest = float(np.log((st / nt) / (so / no)))
-    hw = np.column_stack([p["h"].to_numpy(), p["w"].to_numpy()]) if p.num_rows else np.zeros((0, 2), np.int64)
-    known_words = np.setdiff1d(hw[:, 0], u["w"].to_numpy())  # words that only ever begin a pair
-    model = Model(np.r_[u["w"].to_numpy(), known_words], np.r_[np.nan_to_num(u["r"].fill_null(rest).to_numpy(), nan=rest), np.full(len(known_words), rest)], hw, p["r"].to_numpy(), rest)
-    x = labelled.where("fold = 1").select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(_features_of(model, docs), "y long, " + ", ".join(f"f{k} double" for k in range(len(PRIOR) - 1))).toArrow()
-    model.curve = fit_curve(np.column_stack([x[f"f{k}"].to_numpy() for k in range(len(PRIOR) - 1)]), (x["y"].to_numpy() > 0).astype(float))
-    for t in (labelled, chosen, pairs, uni, counts, word, pair):
-        discard(docs.sparkSession, t)
+    vocabulary = settle(distinct_words(texts.select("text")), "toxicity-words")
+    counts = settle(continuation_counts(vocabulary, ORDER - 1), "toxicity-counts")
+    models = settle(class_models(own, shared_model(counts, ORDER - 1)), "toxicity-models")
+    ratio = lambda a, b: [F.log(F.col(f"{a}_{f}") / F.col(f"{b}_{f}")).cast("float").alias(f"r{f}") for f in range(FOLDS)]
+    seen = models.select(F.col("g").alias("x"), *ratio("pt", "po")).toArrow()
+    back = models.groupBy(F.col("h").alias("x")).agg(*(F.first(f"{c}_{f}").alias(f"{c}_{f}") for c in ("lt", "lo") for f in range(FOLDS))).select("x", *ratio("lt", "lo")).toArrow()
+    table = lambda a: _Table(a["x"].to_pylist(), np.column_stack([a[f"r{f}"].to_numpy() for f in range(FOLDS)]))
+    model = Model(table(seen), table(back))
+    x = labelled.select("text", "toxic", "fold").mapInArrow(_features_of(model, docs), "y int, mean double, share double").toArrow()  # three numbers a labelled row
+    model.curve = fit_curve(np.column_stack([x["mean"].to_numpy(), x["share"].to_numpy()]), x["y"].to_numpy().astype(float))
+    for done in (labelled, chosen, own, vocabulary, counts, models):
+        discard(spark, done)
     return model
 
 
@@ -213,9 +295,8 @@ def _features_of(model: Model, docs: DataFrame):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [shared.value.features(t) for t in b.column(0).to_pylist()]
-            cols = list(zip(*rows)) or [()] * (len(PRIOR) - 1)
-            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array(c, pa.float64()) for c in cols)], ["y", *(f"f{k}" for k in range(len(PRIOR) - 1))])
+            rows = [shared.value.features(t, f) for t, f in zip(b.column(0).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(1), *(pa.array([r[k] for r in rows], pa.float64()) for k in range(2))], ["y", "mean", "share"])
 
     return run
 
