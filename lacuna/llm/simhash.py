@@ -5,9 +5,12 @@ a pivot is the sum of its distances over ``SEGMENTS`` disjoint bit segments, and
 possible segment value to every pivot are precomputed (the pivot distance tables, a few thousand short rows).
 
 Two fingerprints at most ``radius`` bits apart differ in no more than ``radius`` segments. So on at least
-``SEGMENTS - radius`` segments all pivot coordinates are equal: that tuple of coordinates is the search key, and
-every choice of segments is one table of keys. Pairs that share a key are discarded where any pivot coordinate
-differs by more than ``radius`` (triangle inequality); what survives is verified on the bits. No link is lost.
+``SEGMENTS - radius`` segments their bits are equal: those bits are the search key, and every choice of segments is
+one table of keys. (Equal bits have equal distances to all pivots; with 16 pivots the converse holds too, so that keys
+of pivot coordinates would be the same keys.) Of the pairs that share a key, those are discarded of which any pivot
+coordinate, the distance summed over all segments, differs by more than ``radius`` (triangle inequality); what
+survives is verified on the bits. No link is lost. With seven segments a key has some 27 bits, so that few unrelated
+fingerprints share one even where there are a billion.
 """
 
 from __future__ import annotations
@@ -18,15 +21,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, ship
+from .common import discard, settle, ship
 from .components import connected_components
 
 SEED = 42
 PIVOTS = 16
-SEGMENTS = 6
+SEGMENTS = 7
 #: A key with more fingerprints than this is searched as pairs of chunks, in as many tasks as there are pairs.
 HOT_KEY = 16_384
 #: Runs up to this length are compared by shifts over a whole batch, longer ones one by one through leaders.
@@ -34,26 +37,35 @@ SHORT_RUN = 48
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(data: bytes, ngram: int = 4) -> int:
-    """SimHash of one text in UTF-8. No words: zero. Fewer words than ``ngram``: one shingle of all of them."""
+def shingle_hashes(data: bytes, ngram: int) -> np.ndarray:
+    """Hashes of the shingles of a text in UTF-8, repeats included. Fewer words than ``ngram``: one shingle of all of them."""
     words = data.translate(_LOWER).split()  # splits at \x20 and \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if len(words) <= ngram:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], np.uint64)
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens + 1) - 1
     first, last = (ends - lens)[: len(words) - ngram + 1].tolist(), ends[ngram - 1 :].tolist()
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last)), np.uint64, len(first))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes; zero without hashes."""
     total = np.zeros(64, np.int64)
-    for k in range(0, len(first), 65_536):  # keeps the bit matrix small for very long texts
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[k : k + 65_536], last[k : k + 65_536])], np.dtype("<u8"))
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(first), bitorder="little").view(np.dtype("<u8"))[0])
+    for k in range(0, len(hashes), 65_536):  # keeps the bit matrix small for very long texts
+        total += np.unpackbits(hashes[k : k + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.dtype("<u8"))[0])
+
+
+def fingerprint(data: bytes, ngram: int = 4) -> int:
+    """SimHash of one text in UTF-8. No words: zero. Fewer words than ``ngram``: one shingle of all of them."""
+    return majority(shingle_hashes(data, ngram))
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -63,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [_signed(fingerprint(t, ngram)) if t else 0 for t in b.column(1).cast(pa.binary()).to_pylist()]
+            fps = [signed(fingerprint(t, ngram)) if t else 0 for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -80,13 +92,11 @@ class PivotTables:
         edges = [round(64 * k / segments) for k in range(segments + 1)]
         self.shift = edges[:-1]
         self.width = [b - a for a, b in zip(edges, edges[1:])]
-        self.near, self.label = [], []
+        self.near = []
         for s, w in zip(self.shift, self.width):
             values = np.arange(1 << w, dtype=np.uint64)
             own = np.array([(r >> s) & ((1 << w) - 1) for r in refs], np.uint64)
-            d = np.bitwise_count(values[:, None] ^ own[None, :]).astype(np.int8)
-            self.near.append(d)
-            self.label.append(np.unique(d, axis=0, return_inverse=True)[1].reshape(-1).astype(np.int64))
+            self.near.append(np.bitwise_count(values[:, None] ^ own[None, :]).astype(np.int8))
         self.tables = list(combinations(range(segments), segments - radius))
 
     def _parts(self, fp: np.ndarray) -> list[np.ndarray]:
@@ -96,13 +106,13 @@ class PivotTables:
         return sum(d[p] for d, p in zip(self.near, self._parts(fp)))
 
     def keys(self, fp: np.ndarray) -> np.ndarray:
-        """One row of keys per table."""
-        labels = [t[p] for t, p in zip(self.label, self._parts(fp))]
+        """One row of keys per table: its number, and the bits of its segments."""
+        parts = self._parts(fp)
         out = np.empty((len(self.tables), len(fp)), np.int64)
         for k, chosen in enumerate(self.tables):
             key = np.full(len(fp), k, np.int64)
             for s in chosen:
-                key = (key << self.width[s]) | labels[s]
+                key = (key << self.width[s]) | parts[s]
             out[k] = key
         return out
 
@@ -157,13 +167,15 @@ def _link_long(fp: np.ndarray, near: np.ndarray, rows: np.ndarray, forest: _Fore
     distance to a leader does not rule it out. Rows that a leader already joins are not compared again."""
     rest, groups = rows, []
     while len(rest):
-        close = np.bitwise_count(fp[rest] ^ fp[rest[0]]) <= pt.radius
+        close = np.abs(near[rest] - near[rest[0]]).max(axis=1) <= pt.radius
+        close[close] = np.bitwise_count(fp[rest[close]] ^ fp[rest[0]]) <= pt.radius
         own = rest[close]
         forest.add(np.full(len(own) - 1, own[0]), own[1:])
         groups.append(own)
         rest = rest[~close]
     for g, own in enumerate(groups[:-1]):
         later = np.concatenate(groups[g + 1 :])
+        later = later[np.abs(near[later] - near[own[0]]).max(axis=1) <= 2 * pt.radius]
         later = later[np.bitwise_count(fp[later] ^ fp[own[0]]) <= 2 * pt.radius]
         if not len(later):
             continue
@@ -175,6 +187,14 @@ def _link_long(fp: np.ndarray, near: np.ndarray, rows: np.ndarray, forest: _Fore
             forest.add(*pt.verified(fp, near, np.full(len(other), x), other))
 
 
+def chunk_pairs(rows: DataFrame, place: str, chunks: Column, by: str) -> DataFrame:
+    """Adds ``place`` (that column) and ``sub``: rows of a place with one chunk meet there, others once for each pair of
+    chunks of the place, so that every two of them meet in one sub, and no sub holds more than two chunks."""
+    g = F.greatest(chunks.cast("long"), F.lit(1).cast("long"))
+    cut = rows.withColumn("_g", g).withColumn("_c", F.pmod(F.xxhash64(by), F.col("_g"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1)))
+    return cut.withColumn("sub", F.least("_c", "_o") * F.col("_g") + F.greatest("_c", "_o")).withColumnRenamed(place, "place").drop("_g", "_c", "_o")
+
+
 def fingerprint_links(reps: DataFrame, radius: int = 4, segments: int = SEGMENTS) -> DataFrame:
     """``reps`` (fp, id), one row per fingerprint, to links ``(a, b)`` of ids that span all pairs within ``radius``.
 
@@ -194,16 +214,7 @@ def fingerprint_links(reps: DataFrame, radius: int = 4, segments: int = SEGMENTS
 
     keyed = settle(reps.select("fp", "id").mapInArrow(explode_keys, "key long, fp long, id long"), "pivot-keys")
     sizes = settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
-    hot = settle(sizes.where(F.col("n") > HOT_KEY), "hot-keys")
-    shared = keyed.join(sizes.where(F.col("n") <= HOT_KEY), "key").select("key", F.lit(0).alias("sub"), "fp", "id")
-    if not hot.isEmpty():
-        chunk = F.pmod(F.xxhash64("fp"), F.col("g"))
-        split = (
-            keyed.join(hot.withColumn("g", F.ceil(F.col("n") / HOT_KEY).cast("long")), "key").withColumn("c", chunk)
-            .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-            .select("key", (F.least("c", "o") * F.col("g") + F.greatest("c", "o") + 1).cast("int").alias("sub"), "fp", "id")
-        )
-        shared = shared.unionByName(split)
+    shared = chunk_pairs(keyed.join(sizes, "key"), "key", F.ceil(F.col("n") / HOT_KEY), "fp").withColumnRenamed("place", "key")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -226,7 +237,10 @@ def fingerprint_links(reps: DataFrame, radius: int = 4, segments: int = SEGMENTS
         if held and len(held[0]):
             yield flush(held[0])
 
-    return shared.repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(link, "a long, b long")
+    links = settle(shared.select("key", "sub", "fp", "id").repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(link, "a long, b long"), "links")
+    discard(spark, keyed)
+    discard(spark, sizes)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, radius: int = 4) -> DataFrame:
@@ -238,9 +252,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = settle(fingerprints(docs, id_col, text_col, ngram), "fingerprints")
     reps = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "representatives")
-    links = settle(fingerprint_links(reps.where("id is not null"), radius), "links")
+    links = fingerprint_links(reps.where("id is not null"), radius)
     comp = connected_components(links)
     by_fp = settle(reps.join(comp, reps["id"] == comp["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id")), "components")
+    for done in (reps, links, comp):
+        discard(docs.sparkSession, done)
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
