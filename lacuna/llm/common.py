@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 _shipped: set[str] = set()
 #: Where scratch tables go if the session names no shared folder (single-machine sessions, tests).
 _own: dict[str, str] = {}
+_roots: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,15 +37,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder of ``spark.checkpoint.dir``; an own folder only where that is unset."""
+    """A fresh path in the folder of ``spark.checkpoint.dir``. Where that is unset, a folder of this machine, which only
+    a session on one machine can use. What is left there is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="lacuna-scratch-")
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         base = f"file://{_own[app]}"
-    return f"{base.rstrip('/')}/lacuna-{label}-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/lacuna-{app}"
+    if root not in _roots:
+        _roots.add(root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        atexit.register(_remove, path.getFileSystem(spark._jsc.hadoopConfiguration()), path)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
+def _remove(files, path) -> None:
+    try:
+        files.delete(path, True)
+    except Exception:  # noqa: BLE001 - the driver is ending, and its JVM may be gone
+        pass
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
