@@ -339,7 +339,7 @@ def test_links_find_all_components(spark, monkeypatch, hot):
     centre = rng.getrandbits(64)
     fps |= {centre ^ (1 << a) ^ (1 << b) for a, b in ((rng.randrange(64), rng.randrange(64)) for _ in range(150))}
     byid = dict(enumerate(sorted(fps, key=lambda f: xxhash.xxh64_intdigest(str(f)))))
-    reps = spark.createDataFrame([(simhash._signed(f), i) for i, f in byid.items()], "fp long, id long")
+    reps = spark.createDataFrame([(simhash.signed(f), i) for i, f in byid.items()], "fp long, id long")
     links = simhash.fingerprint_links(reps)
     got = {r["node"]: r["component"] for r in connected_components(links).collect()}
     want = brute_components(byid)
