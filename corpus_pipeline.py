@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lacuna.llm.common import settle
 from lacuna.llm.decontam import decontaminate
-from lacuna.llm.nearcopies import near_copies
+from lacuna.llm.nearcopies import keep_one_of_group
 from lacuna.llm.packing import pack_documents
 from lacuna.llm.pii import mask_personal_data
 from lacuna.llm.quality import keep_good
@@ -19,16 +18,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more), the document with the smallest id stays (null ids come last, then the first row).
-
-    ``docs`` is a written table, so that its rows are numbered alike whenever it is read.
-    """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = near_copies(numbered, id_col="_row").join(numbered.select(F.col("_row").alias("doc_id"), F.col("doc_id").alias("own_id")), "doc_id")
-    order = F.struct(F.col("own_id").isNull().alias("no_id"), "own_id", F.col("doc_id").alias("row"))
-    stay = groups.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row"))
-    # rows are unique keys: one way of joining at every size, without skew
-    return numbered.join(settle(stay, "survivors").hint("merge"), "_row", "left_semi").select(docs.columns)
+    """Of each group of near copies (SimHash links completed to all pairs with a Jaccard similarity of 0.8 or more over
+    five-word shingles), the document with the smallest id stays (null ids come last, then the first row)."""
+    return keep_one_of_group(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
