@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -21,15 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import settle, ship
 
 WINDOW = 20
 SIMILARITY = 0.8
-LEAST_WORDS = 5
 #: Benchmark words per broadcast block; a larger benchmark is searched in several passes over the documents.
 BLOCK_WORDS = 1_000_000
-#: Two weight-5 masks that together hit every alignment of 15 words or more with a fifth of them substituted.
-LONG_MASKS = ((0, 1, 2, 4, 5), (0, 1, 2, 3, 4))
+#: Two weight-5 masks that together hit every alignment of 15 words or more with a fifth of them substituted. Both have
+#: gaps, as have those of shorter items of three words or more.
+LONG_MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 4, 6))
+LONG = 15
 _WORD = re.compile(r"\w+")
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
@@ -43,19 +44,28 @@ def _covers(mask: tuple[int, ...], length: int, gone: tuple[int, ...]) -> bool:
     return any(all(i + o not in gone for o in mask) for i in range(length - mask[-1]))
 
 
-def short_masks(length: int) -> list[tuple[int, ...]]:
-    """Masks that together hit ``length`` (5 to 14) words with a fifth of them substituted, found greedily."""
-    subs = length // 5
-    weight = 4 if subs == 1 else 5
-    left = set(combinations(range(length), subs))
-    every = [(0, *m) for m in combinations(range(1, length), weight - 1)]
-    hits = {m: {g for g in left if _covers(m, length, g)} for m in every}
-    chosen = []
-    while left:
-        best = max(every, key=lambda m: (len(hits[m] & left), -m[-1]))
-        chosen.append(best)
-        left -= hits[best]
-    return chosen
+@cache
+def masks_of(length: int) -> tuple[tuple[int, ...], ...]:
+    """Masks that together hit that many words with a fifth of them substituted: of the largest weight at which masks
+    with gaps can do so, found greedily."""
+    if length >= LONG:
+        return LONG_MASKS
+    if length < 3:
+        return (tuple(range(length)),)
+    for weight in range(5, 0, -1):
+        left = set(combinations(range(length), length // 5))
+        every = [(0, *m) for m in combinations(range(1, length), weight - 1) if (0, *m) != tuple(range(weight)) or weight == 1]
+        hits = {m: {g for g in left if _covers(m, length, g)} for m in every}
+        chosen = []
+        while left and every:
+            best = max(every, key=lambda m: (len(hits[m] & left), -m[-1]))
+            if not hits[best] & left:
+                break
+            chosen.append(best)
+            left -= hits[best]
+        if not left:
+            return tuple(chosen)
+    raise ValueError("a mask of one position hits any word that is left")
 
 
 class SeedIndex:
@@ -65,24 +75,17 @@ class SeedIndex:
         self.ids = [i for i, _ in items]
         self.vocab: dict[str, int] = {}
         self.codes = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int32) for _, ws in items]
-        self.tiny: dict[tuple[str, ...], list[int]] = {}
-        lengths = set()
-        for k, (_, ws) in enumerate(items):
-            if 0 < len(ws) < LEAST_WORDS:
-                self.tiny.setdefault(tuple(ws), []).append(k)
-            elif ws:
-                lengths.add(min(len(ws), 15))
-        masks: list[tuple[int, ...]] = [*LONG_MASKS] if 15 in lengths else []
-        for n in sorted(lengths - {15}):
-            masks += [m for m in short_masks(n) if m not in masks]
+        use: dict[tuple[int, ...], list[int]] = {}
+        for k, c in enumerate(self.codes):
+            for mask in masks_of(min(len(c), LONG)) if len(c) else ():
+                use.setdefault(mask, []).append(k)
         self.tables = []
-        for mask in masks:
+        for mask, owners in use.items():
             found = []
-            for k, c in enumerate(self.codes):
-                if len(c) >= LEAST_WORDS and len(c) > mask[-1]:
-                    h = self.hashes(c, np.arange(len(c) - mask[-1]), mask)
-                    found.append(np.column_stack([h.view(np.int64), np.full(len(h), k), np.arange(len(h))]))
-            rows = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            for k in owners:
+                h = self.hashes(self.codes[k], np.arange(len(self.codes[k]) - mask[-1]), mask)
+                found.append(np.column_stack([h.view(np.int64), np.full(len(h), k), np.arange(len(h))]))
+            rows = np.concatenate(found)
             h = rows[:, 0].copy().view(np.uint64)
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << 20, bool)
@@ -102,13 +105,10 @@ class SeedIndex:
         """(text number, item id, words equal, words compared) of each item found in each text."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
         vocab, parts, sizes = self.vocab, [], []
-        for k, t in enumerate(texts):
+        for t in texts:
             ws = words(t)
             sizes.append(len(ws))
             parts.append(np.fromiter((vocab.get(w, 0) for w in ws), np.int32, len(ws)))
-            if self.tiny and len(ws) < LEAST_WORDS:
-                for item in self.tiny.get(tuple(ws), ()):
-                    best[k, item] = (len(ws), len(ws))
         codes = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         ends = np.cumsum(np.array(sizes, np.int64))
         starts = ends - np.array(sizes, np.int64)
@@ -183,16 +183,23 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
         return src.mapInArrow(run, schema)
 
-    parts = [one(x) for x in blocks(benchmark)]
+    parts = [settle(one(x), "contaminations") for x in blocks(benchmark)]  # one block at a time is held and sent
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns, in place."""
+    """The rows of ``docs`` that hold no benchmark item, with all their columns, in place.
+
+    Null and empty texts hold nothing and stay; repeated rows go or stay alike; other columns pass through whatever
+    their names. After all blocks of the benchmark but the last, the rows left are written.
+    """
     spark = docs.sparkSession
     ship(spark)
     n = docs.columns.index(text_col)
+    searched = False
     for index in blocks(benchmark):
+        docs = settle(docs, "decontaminated") if searched else docs
+        searched = True
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -214,9 +221,9 @@ OP10_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 dw AS (SELECT row, doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
-bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS q FROM b WHERE len(w) >= 5),
+bw AS (SELECT item_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS q FROM b),
 pairs AS (SELECT row, doc_id, item_id, n, p - q AS line, q FROM dw JOIN bw USING (word)),
-many AS (SELECT row, doc_id, item_id, line, n FROM pairs GROUP BY ALL HAVING count(*) >= 4),
+many AS (SELECT row, doc_id, item_id, line, n FROM pairs GROUP BY ALL HAVING 5 * count(*) >= 4 * least(n, 20)),
 near AS (
   SELECT row, doc_id, item_id, least(n, 20) AS win,
          count(*) OVER (PARTITION BY row, item_id, line ORDER BY q RANGE BETWEEN 19 PRECEDING AND CURRENT ROW) AS same
@@ -224,6 +231,4 @@ near AS (
 )
 SELECT doc_id, item_id, max(same)::BIGINT AS n_matched, win::BIGINT AS n_window
 FROM near GROUP BY row, doc_id, item_id, win HAVING 5 * max(same) >= 4 * win
-UNION ALL
-SELECT doc_id, item_id, len(d.w)::BIGINT, len(d.w)::BIGINT FROM d JOIN b ON d.w = b.w WHERE len(d.w) BETWEEN 1 AND 4
 """

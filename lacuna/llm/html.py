@@ -33,11 +33,19 @@ _BLOCKS = frozenset(
 )
 #: Elements whose content is never text of the page.
 _SILENT = frozenset("script style noscript template svg math iframe object canvas audio video textarea select option datalist title button".split())
+#: Silent elements that authors leave open: they also end where an element around them does, and, where no end tag
+#: follows at all, at the next block.
+_LOOSE = frozenset("button select option datalist".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the key ends where one of the values begins.
 _CLOSED_BY = {"p": _BLOCKS - {"html", "head", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 _SCOPES = frozenset("ul ol dl table article section div body main aside nav footer header blockquote form".split())
-_TAG = re.compile(r"<(?:!--(?P<c>.*?)(?:-->|\Z)|(?P<d>[!?][^>]*)(?:>|\Z)|(?P<e>/?)(?P<n>[A-Za-z][^\s/>\x00]*)(?P<a>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
+#: A quote opens a value only after an equals sign; elsewhere it is a character like any other.
+_TAG = re.compile(
+    r"<(?:!--(?P<c>.*?)(?:-->|\Z)|(?P<d>[!?][^>]*+)(?:>|\Z)|(?P<e>/?)(?P<n>[A-Za-z][^\s/>\x00]*+)"
+    r"(?P<a>(?:[^>=]|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?)*+)(?:>|\Z))",
+    re.S,
+)
 _ATTR = re.compile(r"(?<![^\s\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -77,6 +85,7 @@ def blocks(source: str) -> list[Block]:
     linked = bold = in_link = in_bold = 0
     silent: str | None = None
     depth = at = 0
+    unended: set[str] = set()  # tags without an end tag in the rest of the page
 
     def flush() -> None:
         nonlocal linked, bold
@@ -111,16 +120,21 @@ def blocks(source: str) -> list[Block]:
         tag, closing = m["n"].lower(), bool(m["e"])
         if silent is not None:
             if tag == silent:
-                depth += -1 if closing else 1
+                depth += -1 if closing else silent not in _LOOSE  # these do not nest
                 if depth == 0:
                     silent = None
-            continue
+                continue
+            if silent not in _LOOSE or tag not in _BLOCKS or not (silent in unended or closing and any(o.tag == tag for o in stack)):
+                continue
+            silent = None
         if not closing and tag in _SILENT:
             if tag in ("script", "style", "textarea", "title", "noscript", "iframe"):  # their content is no markup
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 at = end.end() if end else n
             elif not m["a"].rstrip().endswith("/"):
                 silent, depth = tag, 1
+                if tag in _LOOSE and tag not in unended and not re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at):
+                    unended.add(tag)
             continue
         if tag == "a":
             in_link = 0 if closing else 1
@@ -171,6 +185,7 @@ _WORDS = {
 }
 _CLASS_OF = {w: k for k, (_, ws) in enumerate(_WORDS.items()) for w in ws.split()}
 _PHRASES = re.compile(r"cookie|copyright|©|all rights reserved|advertis|sponsor|subscribe|sign up|log ?in|read more|share (?:this|on)|comment|reply|newsletter|privacy|terms of|posted by|related|menu|search", re.I)
+_NUMBERS = re.compile(r"\d+")
 N_FEATURES = 1 + 2 * len(_WORDS) + len(_SIDE) + len(_MAIN) + len(_LEAF) + 14
 
 
@@ -204,7 +219,7 @@ def features(bs: list[Block]) -> np.ndarray:
         link = b.linked / n
         r[at : at + 14] = (
             min(words, 60) / 60, words < 4, words > 15, link, link > 0.5, b.bold / n > 0.9, b.text[-1] in ".!?:;\"'»”…", min(b.text.count(". ") + b.text.count(", "), 10) / 10,
-            _PHRASES.search(b.text) is not None if n < 400 else 0, any(c.isdigit() for c in b.text[:200]), article_there and not (tags & set(_MAIN)), not article_there, not b.tags, "©" in b.text or "·" in b.text,
+            min(20 * len(_PHRASES.findall(b.text)) / words, 1), min(5 * len(_NUMBERS.findall(b.text)) / words, 1), article_there and not (tags & set(_MAIN)), not article_there, not b.tags, "©" in b.text or "·" in b.text,
         )
     return x
 

@@ -11,8 +11,9 @@ never grows. Shares are cut at bins of the logarithm of the distance, counted pe
 sorted, every row counts, and a hot group is only ever pre-aggregated. ``FLOORS`` are added to the variances
 (most documents have no symbols or repeats at all, so that plain scatter would be singular).
 
-Groups of fewer than ``LEAST_GROUP`` documents are pooled by language, then all together; a pool that stays below
-that rejects nothing.
+Groups are alike at every size: the moments of a group are joined by those of its language with the weight of
+``PRIOR`` documents, and a language's by those of all documents. So a small group is judged mostly by its language, and
+a large one by itself.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -39,7 +40,8 @@ STEPS = 6
 CUT = 50.0
 #: Scatter of the nearest 75 % of five normal coordinates is too small by this factor.
 CONSISTENCY = 1.41
-LEAST_GROUP = 40
+#: Documents that the moments of the language count for in a group, and those of all documents in a language.
+PRIOR = 40
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -138,40 +140,55 @@ def _distance(x: list[Column], prefix: str = "") -> Column:
     return reduce(add, (v * v for v in z))
 
 
+def _joined(groups: DataFrame, names: list[str]) -> DataFrame:
+    """Means ``names`` of groups (k_lang, g, n) joined by those of their language, and these by those of all: each counts
+    for ``PRIOR`` rows more. One row a group; nothing of documents moves."""
+    total = [F.sum(F.col("n") * F.col(c)).alias(c) for c in names]
+    langs = groups.groupBy("k_lang").agg(F.sum("n").alias("n"), *total)
+    every = langs.groupBy(F.lit(0).alias("one")).agg(F.sum("n").alias("n_all"), *(F.sum(c).alias(f"{c}_all") for c in names))
+    langs = langs.withColumn("one", F.lit(0)).join(every, "one")
+    langs = langs.select("k_lang", *(((F.col(c) + PRIOR * F.col(f"{c}_all") / F.col("n_all")) / (F.col("n") + PRIOR)).alias(f"{c}_lang") for c in names))
+    out = groups.join(langs, "k_lang")
+    return out.select("g", *(((F.col("n") * F.col(c) + PRIOR * F.col(f"{c}_lang")) / (F.col("n") + PRIOR)).alias(c) for c in names))
+
+
 def fit(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "") -> DataFrame:
     """One row of estimates per language and source; ``stats`` is a settled table with statistics."""
     d = len(FEATURES)
     rows = stats.where(~F.col(f"{prefix}base_failed")).select(_key(lang_col).alias("k_lang"), _key(source_col).alias("k_source"), *(v.alias(k) for k, v in zip(FEATURES, _features(prefix))))
-    sizes = rows.groupBy("k_lang", "k_source").agg(F.count("*").alias("n"))
-    small = F.col("n") < LEAST_GROUP
-    pool = F.sum(F.when(small, F.col("n"))).over(W.partitionBy("k_lang"))
-    group = F.when(~small, F.to_json(F.struct("k_lang", "k_source"))).when(pool >= LEAST_GROUP, F.to_json(F.struct("k_lang"))).otherwise(F.lit("all"))
-    groups = settle(sizes.withColumn("g", group).select("k_lang", "k_source", "g"), "quality-groups")
-    x = settle(rows.join(groups, ["k_lang", "k_source"]).select("g", *FEATURES), "quality-vectors")
+    x = settle(rows.select("k_lang", "k_source", F.to_json(F.struct("k_lang", "k_source")).alias("g"), *FEATURES), "quality-vectors")
+    groups = settle(x.groupBy("k_lang", "k_source", "g").agg(F.count("*").alias("n")), "quality-groups")
 
     # start: coordinate medians, then median deviations, from bins of 1/256
     tall = lambda t, v: t.select("g", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), v(i).alias("v")) for i in range(d)))).alias("e")).select("g", "e.i", "e.v")
-    wide = lambda t, name: t.groupBy("g").agg(*(F.max(F.when(F.col("i") == i, F.col("cut"))).alias(f"{name}{i}") for i in range(d)))
-    med = _bins_up_to(tall(x, lambda i: F.col(FEATURES[i])), F.floor(F.col("v") * 256), ["g", "i"], 0.5)
-    centre = settle(wide(med, "b").select("g", *(((F.col(f"b{i}") + 0.5) / 256).alias(f"m{i}") for i in range(d))), "quality-medians")
-    dev = _bins_up_to(tall(x.join(centre, "g"), lambda i: F.abs(F.col(FEATURES[i]) - F.col(f"m{i}"))), F.floor(F.col("v") * 256), ["g", "i"], 0.5)
-    spread = wide(dev, "b").select("g", *((1.4826 * (F.col(f"b{i}") + 0.5) / 256).alias(f"s{i}") for i in range(d)))
-    start = centre.join(spread, "g")
+    wide = lambda t, name: t.groupBy("g").agg(*(((F.max(F.when(F.col("i") == i, F.col("cut"))) + 0.5) / 256).alias(f"{name}{i}") for i in range(d)))
+    sized = groups.select("k_lang", "g", "n")
+    med = wide(_bins_up_to(tall(x, lambda i: F.col(FEATURES[i])), F.floor(F.col("v") * 256), ["g", "i"], 0.5), "m")
+    centre = settle(_joined(sized.join(med, "g"), [f"m{i}" for i in range(d)]), "quality-medians")
+    dev = wide(_bins_up_to(tall(x.join(centre, "g"), lambda i: F.abs(F.col(FEATURES[i]) - F.col(f"m{i}"))), F.floor(F.col("v") * 256), ["g", "i"], 0.5), "s")
+    start = centre.join(_joined(sized.join(dev, "g"), [f"s{i}" for i in range(d)]), "g")
     for i in range(d):
         for j in range(i + 1):
-            start = start.withColumn(f"c{i}_{j}", F.col(f"s{i}") * F.col(f"s{i}") + FLOORS[i] ** 2 if i == j else F.lit(0.0))
+            start = start.withColumn(f"c{i}_{j}", 1.4826**2 * F.col(f"s{i}") * F.col(f"s{i}") + FLOORS[i] ** 2 if i == j else F.lit(0.0))
     estimate = settle(_whitening(start), "quality-start")
+    pairs = [(i, j) for i in range(d) for j in range(i + 1)]
     for _ in range(STEPS):
-        at = x.join(estimate, "g").select("g", *FEATURES, F.floor(F.log2(_distance([F.col(k) for k in FEATURES]) + 1e-6) * 32).alias("bin"))
+        at = x.join(estimate, "g").select("k_lang", "g", *FEATURES, F.floor(F.log2(_distance([F.col(k) for k in FEATURES]) + 1e-6) * 32).alias("bin"))
         cut = settle(_bins_up_to(at, F.col("bin"), ["g"], SUBSET), "quality-cut")
         near = at.join(cut, "g").where("bin <= cut")
-        moments = near.groupBy("g").agg(*(F.avg(k).alias(f"m{i}") for i, k in enumerate(FEATURES)), *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i + 1)))
-        for i in range(d):
-            for j in range(i + 1):
-                moments = moments.withColumn(f"c{i}_{j}", CONSISTENCY * F.col(f"c{i}_{j}") + (FLOORS[i] ** 2 if i == j else 0.0))
-        estimate = settle(_whitening(moments), "quality-estimate")
-    counts = x.groupBy("g").agg(F.count("*").alias("n_group")).where(F.col("n_group") >= LEAST_GROUP)
-    return settle(groups.join(estimate.join(counts, "g"), "g").drop("g", "n_group"), "quality-model")
+        moments = near.groupBy("k_lang", "g").agg(F.count("*").alias("n"), *(F.avg(k).alias(f"m{i}") for i, k in enumerate(FEATURES)), *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i, j in pairs))
+        raw = moments.select("k_lang", "g", "n", *(f"m{i}" for i in range(d)), *((F.col(f"c{i}_{j}") + F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}_{j}") for i, j in pairs))
+        moments = _joined(raw, [*(f"m{i}" for i in range(d)), *(f"c{i}_{j}" for i, j in pairs)])
+        for i, j in pairs:
+            moments = moments.withColumn(f"c{i}_{j}", CONSISTENCY * (F.col(f"c{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0))
+        new = settle(_whitening(moments), "quality-estimate")
+        discard(stats.sparkSession, estimate)
+        discard(stats.sparkSession, cut)
+        estimate = new
+    out = settle(groups.join(estimate, "g").drop("g", "n"), "quality-model")
+    for done in (x, groups, centre, estimate):
+        discard(stats.sparkSession, done)
+    return out
 
 
 def judge(stats: DataFrame, model: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "") -> DataFrame:
@@ -196,14 +213,17 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that :func:`quality` keeps, with all their columns; texts are read twice, not shuffled."""
+    """The rows of ``docs`` that :func:`quality` keeps, with all their columns.
+
+    Rows are written once with their statistics, and model and verdict read those: texts are not counted twice, nor
+    shuffled. Null and empty texts go; repeated rows go or stay alike; other columns pass through whatever their names.
+    """
     p = "_quality_"
-    src = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
-    model = fit(settle(with_statistics(src).drop("text"), "quality-statistics"))
-    judged = judge(with_statistics(docs, text_col, p), model, lang_col, source_col, p)
-    # one comparison: the optimizer would push a part of a conjunction below the join, and count words once more for it
-    bad = F.greatest(F.col(f"{p}base_failed").cast("int"), F.coalesce((F.col(f"{p}distance") > CUT).cast("int"), F.lit(0)))
-    return judged.where(bad == 0).select(docs.columns)
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    counted = settle(with_statistics(docs, text_col, p), "quality-rows")
+    judged = judge(counted, fit(counted, lang_col, source_col, p), lang_col, source_col, p)
+    return judged.where(F.col(f"{p}kept")).select(docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
