@@ -103,8 +103,7 @@ def continuation_counts(vocabulary: DataFrame, order: int) -> DataFrame:
 
 
 def shared_model(counts: DataFrame, order: int) -> DataFrame:
-    """``(g, p)``: the shared probability of each n-gram's last character after the others, of n-grams seen and of
-    those whose context is seen (whose p is the back-off alone, and whose g is not in the table, are for the caller)."""
+    """``(g, p)``: the shared probability of the last character of each n-gram seen, after the others."""
     context = F.substring("g", F.lit(1), F.length("g") - 1)
     counts = counts.withColumn("k", F.length("g")).withColumn("h", context)
     after = settle(counts.groupBy("k", "h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")), "toxicity-contexts")
@@ -221,8 +220,9 @@ class Model:
     def compare(self, ws: list[str], column: int = 0) -> np.ndarray:
         """Toxic minus ordinary log-likelihood of each word."""
         known = self.known.setdefault(column, {})
-        if len(known) > CACHED_WORDS:
-            known.clear()
+        if sum(map(len, self.known.values())) > CACHED_WORDS:
+            for words_known in self.known.values():
+                words_known.clear()
         if fresh := list(set(ws).difference(known)):
             flat, starts = _codes([f"{BEGIN}{w}{END}" for w in fresh])
             place = np.arange(len(flat)) - np.repeat(starts, np.diff(np.r_[starts, len(flat)]))
