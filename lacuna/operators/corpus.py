@@ -38,13 +38,16 @@ def union_sources(*sources: DataFrame) -> DataFrame:
 
 
 def normalise(rows: DataFrame) -> DataFrame:
-    """The columns of a training row, with defaults for those missing or null."""
+    """The columns of a training row; other columns go, and language, locale and values have defaults.
+
+    ``split`` and ``masked_text`` are placeholders, whatever was there. ``uid`` is null until :func:`with_uids`.
+    """
     have = set(rows.columns)
-    of = lambda c, kind, default=None: (F.coalesce(F.col(c).cast(kind), F.lit(default)) if default is not None else F.col(c).cast(kind)) if c in have else F.lit(default).cast(kind)
-    mask = F.transform(F.coalesce(F.col("privacy_mask"), none_of(MASK[6:-1])), lambda m: F.struct(m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), m["label"].alias("label"), F.coalesce(m["value"], F.lit("")).alias("value")))
+    of = lambda c, default: F.coalesce(F.col(c).cast("string"), F.lit(default)) if c in have else F.lit(default)
+    mask = F.transform(F.coalesce(F.col("privacy_mask"), none_of(MASK[6:-1])), lambda m: F.struct(m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), m["label"].alias("label"), F.coalesce(m["value"], F.lit("")).alias("value"))) if "privacy_mask" in have else none_of(MASK[6:-1])
     return rows.select(
-        of("source_text", "string", "").alias("source_text"), of("language", "string", "en").alias("language"), of("locale", "string", "US").alias("locale"), of("split", "string", "train").alias("split"),
-        mask.alias("privacy_mask"), of("uid", "long").alias("uid"), of("masked_text", "string", "").alias("masked_text"),
+        of("source_text", "").alias("source_text"), of("language", "en").alias("language"), of("locale", "US").alias("locale"), F.lit("train").alias("split"),
+        mask.alias("privacy_mask"), F.lit(None).cast("long").alias("uid"), F.lit("").alias("masked_text"),
     )
 
 
@@ -53,13 +56,28 @@ def mask_key(mask: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(mask, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["label"].alias("label")))))
 
 
-def deduplicate(rows: DataFrame, keys: list[Column], order: list[Column], id_col: str = "uid") -> DataFrame:
-    """The first row (by ``order``) of each key. A minimum per key is pre-aggregated before the shuffle, so that a
-    hot key is one row per task; then rows join back on their id."""
-    named = [k.alias(f"k{i}") for i, k in enumerate(keys)]
-    key_hash = F.sha2(F.to_json(F.struct(*named)), 256)
-    first = rows.groupBy(key_hash.alias("k")).agg(F.min_by(F.col(id_col), F.struct(*order)).alias(id_col))
-    return rows.join(first.select(id_col), id_col, "left_semi")
+def distinct_spans(mask: Column) -> Column:
+    """Spans once each by (start, end, label), the first of them, in order of start."""
+    first = F.filter(mask, lambda m, k: ~F.exists(F.slice(mask, F.lit(1), k), lambda x: (x["start"] == m["start"]) & (x["end"] == m["end"]) & x["label"].eqNullSafe(m["label"])))
+    return F.array_sort(first, lambda a, b: a["start"] - b["start"])
+
+
+def row_key(text: Column, mask: Column) -> Column:
+    """One hash for the text and the set of its spans."""
+    shown = F.transform(mask_key(mask), lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"), m["label"]))
+    return F.sha2(F.concat(F.array_join(shown, ","), F.lit("|"), text), 256)
+
+
+def deduplicate(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
+    """The first row (by ``order``, nulls last) of each key; no row needs an id.
+
+    Whole rows are carried by a minimum per key that is pre-aggregated before the shuffle, so that a hot key is one
+    row per task. Null keys are keys like any other.
+    """
+    key = F.sha2(F.to_json(F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)))), 256)
+    place = F.struct(*(x for i, c in enumerate(order) for x in (c.isNull().alias(f"n{i}"), c.alias(f"o{i}"))))
+    first = rows.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), place).alias("_row"))
+    return first.select("_row.*")
 
 
 def shuffle_rank(seed: int | str, *cols: str) -> Column:
@@ -98,6 +116,12 @@ def ranks_within(rows: DataFrame, stratum_col: str, rank: Column, id_col: str) -
     return cut.withColumn("_k", inner).join(before, [stratum_col, "_cut"]).withColumn("k", F.col("_k") + F.col("_before")).drop("_k", "_before", "_cut", "_rank")
 
 
+def with_uids(rows: DataFrame, rank: Column, first: int = 0) -> DataFrame:
+    """``uid`` from ``first`` on, in the order of ``rank`` (a hash in hexadecimal, unique but for rows that are the same)."""
+    every = rows.drop("uid").withColumn("_all", F.lit("all")).withColumn("_rank_of", rank)
+    return ranks_within(every, "_all", F.col("_rank_of"), "_rank_of").withColumn("uid", F.col("k") - 1 + first).drop("k", "n", "_all", "_rank_of")
+
+
 def stratified_split(rows: DataFrame, stratum_col: str, id_col: str, seed: int = 42, train: float = 0.8, validation: float = 0.1, test: float = 0.1) -> DataFrame:
     """Adds ``split``. A stratum too small to leave a test row goes to training as a whole."""
     if abs(train + validation + test - 1) > 1e-3:
@@ -146,14 +170,25 @@ def interleave(rows: DataFrame, class_col: str, id_col: str, seed: int = 42, fir
 def bio_encode(tokens: DataFrame, gold: DataFrame) -> DataFrame:
     """Adds ``tag`` to tokens (doc_id, pos, start, end) from spans (doc_id, start, end, type).
 
-    A token wholly inside a span is inside its first one, ``B-`` where it begins it; tokens without width are null.
-    An equi-join by document with a range condition.
+    A token wholly inside a span is inside its first one (by start, then end), ``B-`` where it begins it; tokens without
+    width are null. Spans and tokens are laid in one line a document: one shuffle, no pairs. Spans that open no later
+    than a token are behind it; of those that reach its end, the first is wanted. Where spans do not overlap, that is
+    the last one behind it; where they do, those still open are kept in an array that holds overlapping spans only.
     """
-    g = gold.select("doc_id", F.col("start").alias("g_start"), F.col("end").alias("g_end"), F.col("type").alias("g_type"))
-    inside = (tokens["doc_id"] == g["doc_id"]) & (F.col("start") >= F.col("g_start")) & (F.col("end") <= F.col("g_end")) & (F.col("start") < F.col("end"))
-    first = tokens.join(g, inside).groupBy(tokens["doc_id"], "pos").agg(F.min(F.struct("g_start", "g_end", "g_type")).alias("g"))
-    tag = F.when(F.col("start") == F.col("end"), F.lit(None)).when(F.col("g").isNull(), "O").otherwise(F.concat(F.when(F.col("start") == F.col("g.g_start"), "B-").otherwise("I-"), F.col("g.g_type")))
-    return tokens.join(first, ["doc_id", "pos"], "left").withColumn("tag", tag).drop("g")
+    g = gold.select("doc_id", F.lit(None).cast("int").alias("pos"), "start", "end", F.col("type").alias("g_type"))
+    line = tokens.select("doc_id", "pos", "start", "end", F.lit(None).cast("string").alias("g_type")).unionByName(g)
+    # a run of spans that overlap one another is an island; a token can only be inside spans of the last island before it
+    order = W.partitionBy("doc_id").orderBy("start", F.col("pos").isNotNull(), "end", "pos")
+    span = F.col("g_type").isNotNull()
+    reach = F.max(F.when(span, F.col("end"))).over(order.rowsBetween(W.unboundedPreceding, -1))
+    line = line.withColumn("_new", (span & F.coalesce(F.col("start") >= reach, F.lit(True))).cast("int"))
+    line = line.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    inner = W.partitionBy("doc_id", "_island").orderBy("start", F.col("pos").isNotNull(), "end", "pos").rowsBetween(W.unboundedPreceding, 0)
+    behind = F.collect_list(F.when(span, F.struct("start", "end", "g_type"))).over(inner)
+    line = line.withColumn("_behind", behind).where(~span)
+    first = F.get(F.filter("_behind", lambda x: x["end"] >= F.col("end")), F.lit(0))
+    tag = F.when(F.col("start") == F.col("end"), F.lit(None)).when(first.isNull(), "O").otherwise(F.concat(F.when(F.col("start") == first["start"], "B-").otherwise("I-"), first["g_type"]))
+    return line.select("doc_id", "pos", "start", "end", tag.alias("tag"))
 
 
 def find_needles(text: Column, needle: Column | str) -> Column:
@@ -197,14 +232,19 @@ def generate(spark, n: int, seed: int = 42, first_uid: int = 1_000_000) -> DataF
     return spark.range(n).select(text.alias("source_text"), F.lit("en").alias("language"), F.lit("US").alias("locale"), F.lit("train").alias("split"), mask.alias("privacy_mask"), (F.col("id") + first_uid).alias("uid"), masked.alias("masked_text"))
 
 
+def draw(seed: int, salt: str, id_col: str) -> Column:
+    """A number below 2**32 from a hash that every engine with MD5 can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(salt), F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("long")
+
+
 def random_ip(id_col: str, seed: int = 42) -> Column:
-    p = lambda s, a, b: (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit(s)), F.lit(b - a + 1)) + a).cast("string")
+    p = lambda s, a, b: (draw(seed, s, id_col) % (b - a + 1) + a).cast("string")
     return F.concat_ws(".", F.lit("10"), p("b", 0, 255), p("c", 0, 255), p("d", 1, 254))
 
 
 def random_timestamp(id_col: str, seed: int = 42) -> Column:
     """An instant of 2025 as ISO text in UTC."""
-    seconds = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed), F.lit("at")), F.lit(365 * 86_400))
+    seconds = draw(seed, "at", id_col) % (365 * 86_400)
     return F.date_format(F.timestamp_seconds(F.lit(1_735_689_600) + seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
@@ -223,10 +263,10 @@ def from_token_classes(rows: DataFrame, seed: int = 42, positives: int = 50_000,
 
 
 def prepare(*sources: DataFrame, seed: int = 42) -> DataFrame:
-    """Union, normal form, deduplication, hash order with new ``uid`` from 0 on, and stratified splits."""
-    rows = normalise(union_sources(*sources))
-    rows = rows.withColumn("_key", F.sha2(F.concat_ws("|", "source_text", mask_key(F.col("privacy_mask")).cast("string")), 256))
-    first = rows.groupBy("_key").agg(F.min("uid").alias("uid"))
-    kept = rows.join(first, ["_key", "uid"], "left_semi").dropDuplicates(["_key"]).withColumn("_all", F.lit("all"))
-    ranked = ranks_within(kept, "_all", shuffle_rank(seed, "uid"), "uid").withColumn("uid", F.col("k") - 1).drop("k", "n", "_all", "_key")
-    return stratified_split(ranked.withColumn("_stratum", stratum(F.col("privacy_mask"))), "_stratum", "uid", seed).drop("_stratum")
+    """Union, normal form, deduplication by text and set of spans (of equal rows, one of the first source stays), hash
+    order with new ``uid`` from 0 on, and stratified splits. No source needs a ``uid``."""
+    rows = reduce(DataFrame.unionByName, (normalise(s).withColumn("_source", F.lit(k)) for k, s in enumerate(sources)))
+    rows = rows.withColumn("_key", row_key(F.col("source_text"), F.col("privacy_mask")))
+    kept = deduplicate(rows, [F.col("_key")], [F.col("_source"), F.col("language"), F.col("locale"), F.to_json("privacy_mask")]).drop("_source")
+    ranked = with_uids(kept, F.md5(F.concat(F.lit(f"{seed}-"), F.col("_key")))).drop("_key")
+    return stratified_split(ranked.drop("split").withColumn("_stratum", stratum(F.col("privacy_mask"))), "_stratum", "uid", seed).drop("_stratum").select(*(f.split()[0] for f in TRAINING_ROW.replace(MASK, "mask").split(", ")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.functions.columns import let, none_of
+from lacuna.sources.session import ship
 
 from .detect import SPAN, in_order
 from .ruleset import NER_TYPES
@@ -64,12 +65,75 @@ def windows(text: str, n_tokens: int, max_len: int) -> list[tuple[int, int]]:
     return out
 
 
+_models: dict[str, Backend] = {}
+
+
+class Loaded:
+    """A backend that a worker loads when it first needs it, and keeps: ``factory`` makes the model, ``name`` tells it from
+    others. ``max_len`` is the most tokens it takes (none: any number); ``count`` counts tokens."""
+
+    def __init__(self, name: str, factory: Callable[[], Backend], max_len: int | None = None) -> None:
+        self.name, self.factory, self.max_len = name, factory, max_len
+
+    def _model(self) -> Backend:
+        if self.name not in _models:
+            _models[self.name] = self.factory()
+        return _models[self.name]
+
+    def __call__(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        return self._model()(texts)
+
+    def count(self, text: str) -> int:
+        return self._model().count(text)
+
+    def close(self) -> None:
+        """Lets this worker's model go; the next call loads it again."""
+        _models.pop(self.name, None)
+
+
+def best_first(found: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Greedily by falling score, without overlaps: what :func:`lacuna.operators.spans.best_by_score` does to columns."""
+    kept: list[tuple[int, int, str, float]] = []
+    for e in sorted(found, key=lambda e: (-e[3], e[0])):
+        if all(e[1] <= k[0] or k[1] <= e[0] for k in kept):
+            kept.append(e)
+    return kept
+
+
+def ask(backend: Backend, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+    """Entities of each text: at most ``MOST_SPANS``, those of known types and enough score.
+
+    Texts of more tokens than the backend takes go in overlapping windows, of whose entities the best are kept. Where a
+    batch fails, its pieces are asked one by one, and only a piece that fails by itself has no entities.
+    """
+    longest, count = getattr(backend, "max_len", None), getattr(backend, "count", None)
+    pieces: list[tuple[int, int, str]] = []
+    for k, t in enumerate(texts):
+        data = t.encode()
+        cut = windows(t, count(t), longest) if longest and count else [(0, len(data))]
+        pieces += [(k, a, data[a:b].decode()) for a, b in cut]
+
+    def try_each(some: list[str]) -> list[list]:
+        try:
+            return list(backend(some))
+        except Exception:  # noqa: BLE001 - the stage degrades to no entities
+            return [[]] if len(some) == 1 else [x for one in some for x in try_each([one])]
+
+    found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+    windowed = [0] * len(texts)
+    for (k, a, _), entities in zip(pieces, try_each([p for _, _, p in pieces]) if pieces else []):
+        windowed[k] += 1
+        found[k] += [(a + s, a + e, t, score) for s, e, t, score in entities if t in NER_TYPES and score >= THRESHOLD]
+    return [sorted(best_first(f) if n > 1 else f, key=lambda e: e[0])[:MOST_SPANS] for f, n in zip(found, windowed)]
+
+
 def entity_stage(backend: Backend | None):
-    """A pipeline stage. Without a backend it finds nothing; a failing batch is skipped, as the text stays usable."""
+    """A pipeline stage over what is still unclaimed. Without a backend it finds nothing."""
 
     def stage(df: DataFrame) -> DataFrame:
         if backend is None:
             return df.withColumn("found", none_of(SPAN))
+        ship(df.sparkSession)
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("score", pa.float32())]))
         names = [*df.columns, "gaps"]
         src = df.withColumn("gaps", F.when(F.col("text") != "", gaps(F.col("text"), F.col("claimed"))))
@@ -77,18 +141,8 @@ def entity_stage(backend: Backend | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 chunks = b.column(len(names) - 1).to_pylist()
-                flat = [g["text"] for row in chunks for g in row or ()]
-                try:
-                    answers = iter(backend(flat))
-                except Exception:  # noqa: BLE001 - the stage degrades to no entities
-                    answers = iter([[] for _ in flat])
-                rows = []
-                for row in chunks:
-                    found = []
-                    for g in row or ():
-                        best = sorted((e for e in next(answers) if e[2] in NER_TYPES and e[3] >= THRESHOLD), key=lambda e: e[0])[:MOST_SPANS]
-                        found += [{"start": g["start"] + a, "end": g["start"] + z, "type": t, "score": s} for a, z, t, s in best]
-                    rows.append(found)
+                answers = iter(ask(backend, [g["text"] for row in chunks for g in row or ()]))
+                rows = [[{"start": g["start"] + a, "end": g["start"] + z, "type": t, "score": s} for g in row or () for a, z, t, s in next(answers)] for row in chunks]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, kind)], [*names[:-1], "entities"])
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+from lacuna.operators.entities import Loaded
+
 _A = "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dF3hJ5"  # 36 letters and digits
 _X = "0a1b2c3d4e5f60718293a4b5c6d7e8f9"  # 32 hexadecimal digits
 
@@ -33,3 +37,41 @@ ENTITIES = [
     (2, "221B Baker St, NW1 6XE London", "ADDRESS", 5, 13), (2, "221B Baker St, NW1 6XE London", "ADDRESS", 23, 29),
     (3, "Bob and Ann", "NAME", 0, 3), (3, "Bob and Ann", "NAME", 8, 11), (4, "no7 Mill Lane", "ADDRESS", 4, 13), (5, "x 1234567 Mill", "ADDRESS", 10, 14), (6, "Bob, ann_x", "NAME", 0, 3), (6, "Bob, ann_x", "USERNAME", 5, 10),
 ]
+
+#: Golden cases: (id, category, input, expected_output, notes).
+GOLDEN = [
+    (1, "mail", "write to bob.smith@mail.example.org today", "write to [REDACTED - EMAIL] today", ""),
+    (2, "phone", "ring +44 20 7946 0958 or (415) 555-0198", "ring [REDACTED - PHONE] or [REDACTED - PHONE]", ""),
+    (3, "network", "host 10.0.0.1, mac 00:1B:44:11:3A:B7", "host [REDACTED - IPv4], mac [REDACTED - MAC_ADDRESS]", ""),
+    (4, "identity", "ssn 123-45-6789 and iban DE89370400440532013000", "ssn [REDACTED - SSN] and iban [REDACTED - IBAN]", ""),
+    (5, "card", "card 4111 1111 1111 1111 not 4111 1111 1111 1112", "card [REDACTED - CREDIT_CARD] not 4111 1111 1111 1112", "the second fails its check"),
+    (6, "secret", "postgres://admin:s3cretpw@db.example.com/x", "postgres://admin:[REDACTED - DB_CREDENTIALS]@db.example.com/x", "only the password"),
+    (7, "secret", "api_key=aZ3bY4cX5dW6eV7f", "api_key=[REDACTED - GENERIC_API_KEY]", ""),
+    (8, "clean", "token = example-token-1234", "token = example-token-1234", "a stop word stands beside it"),
+    (9, "clean", "version 1.2.3 of 2024-05-01", "version 1.2.3 of 2024-05-01", ""),
+    (10, "key", "-----BEGIN RSA PRIVATE KEY-----\nMIIB\n-----END RSA PRIVATE KEY-----", "[REDACTED - PRIVATE_KEY]", "over several lines"),
+]
+
+#: (source_text, language, spans as JSON): rows for corpus steps, with repeated spans and repeated rows.
+TRAINING = [
+    ("Ana Ruiz, 12 Oak St", "en", '[{"start":0,"end":8,"label":"GIVENNAME","value":"Ana Ruiz"},{"start":10,"end":19,"label":"STREET","value":"12 Oak St"}]'),
+    ("Ana Ruiz, 12 Oak St", "es", '[{"start":10,"end":19,"label":"STREET","value":"12 Oak St"},{"start":0,"end":8,"label":"GIVENNAME","value":""},{"start":0,"end":8,"label":"GIVENNAME","value":""}]'),
+    ("Ana Ruiz, 12 Oak St", "en", '[{"start":0,"end":8,"label":"GIVENNAME","value":"Ana Ruiz"}]'),
+    ("mail a@b.co", "en", '[{"start":5,"end":11,"label":"EMAIL","value":"a@b.co"}]'), ("nothing", "en", "[]"), ("nothing", "en", "[]"),
+]
+
+
+class _CapitalWords:
+    """A backend without a model: words that begin with a capital are names, sure by their length."""
+
+    max_len = 256
+
+    def count(self, text: str) -> int:
+        return len(text.split())
+
+    def __call__(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
+        return [[(len(t[: m.start()].encode()), len(t[: m.end()].encode()), "NAME", min(1.0, len(m.group()) / 10)) for m in re.finditer(r"\b[A-Z][a-z]{4,}", t)] for t in texts]
+
+
+def capital_words() -> Loaded:
+    return Loaded("capital-words", _CapitalWords, _CapitalWords.max_len)

@@ -6,7 +6,7 @@ from lacuna.operators.corpus import LABELS
 from lacuna.operators.detect import _STEMS
 from lacuna.operators.ruleset import ALL_TYPES, CALLING_CODES, PATTERNS, RULES, Pattern, Rule, by_priority
 
-from .fixtures import ENTITIES, SAMPLES
+from .fixtures import ENTITIES, GOLDEN, SAMPLES, TRAINING
 
 
 def lit(s: str) -> str:
@@ -173,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
         "disable_types": spans_of(all_spans_sql(TEXTS, ("EMAIL", "JWT", "CREDIT_CARD"))),
         "redact_fast": redacted_sql(TEXTS),
         "apply_redactions": redacted_sql("SELECT page_id AS doc_id, html AS text FROM pages"),
-        "redact_conversations": redacted_sql("SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations"),
+        "redact_conversations": redacted_sql("SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS doc_id, text FROM conversations"),
         "fully_covered": f"""WITH m AS MATERIALIZED ({all_spans_sql(TEXTS)}), d AS ({TEXTS}), o AS (SELECT doc_id, s, e, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m)
           SELECT d.doc_id, coalesce(g.covered, false) AS covered FROM d LEFT JOIN (SELECT doc_id, bool_and(s <= before) AND max(e) >= max(strlen(text)) AS covered FROM o JOIN d USING (doc_id) GROUP BY doc_id) g USING (doc_id)""",
         "type_catalog": "SELECT * FROM " + _values([(t, k) for k, t in enumerate(ALL_TYPES)], "type, ord"),
@@ -195,8 +195,7 @@ def oracle_sql() -> dict[str, str]:
         "map_labels": f"SELECT p_partkey, label, CASE {' '.join(f'WHEN label = {lit(k)} THEN {lit(v)}' for k, v in LABELS.items() if v)} END AS type FROM (SELECT p_partkey, {_pick_label('p_partkey')} AS label FROM part)",
         "dedup_documents": "SELECT min(doc_id) AS doc_id, text, lang FROM documents GROUP BY text, lang",
         "label_distribution": f"SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT {_pick_label('p_partkey')} AS label FROM part) GROUP BY label",
-        "stratified_split": f"""SELECT doc_id, lang, CASE WHEN n - a - b < 1 THEN 'train' WHEN k <= a THEN 'train' WHEN k <= a + b THEN 'validation' ELSE 'test' END AS split
-          FROM (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, greatest(1, floor(count(*) OVER (PARTITION BY lang) * 0.8::DOUBLE)) AS a, greatest(1, floor(count(*) OVER (PARTITION BY lang) * 0.1::DOUBLE)) AS b, row_number() OVER (PARTITION BY lang ORDER BY {_RANK}, doc_id) AS k FROM documents)""",
+        "stratified_split": oracle_of_split(),
         "carve_test": f"SELECT doc_id, lang, k <= greatest(1, floor(n * 0.2::DOUBLE)) AS carved FROM (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY {_RANK}, doc_id) AS k FROM documents)",
         "sample_documents": f"SELECT doc_id FROM documents ORDER BY {_RANK}, doc_id LIMIT 100",
         "interleave_classes": f"""WITH r AS (SELECT doc_id, toxic > 0 AS positive, row_number() OVER (PARTITION BY toxic > 0 ORDER BY {_RANK}, doc_id) AS k FROM labels), c AS (SELECT positive, count(*) AS n FROM r GROUP BY 1)
@@ -215,7 +214,84 @@ def oracle_sql() -> dict[str, str]:
         "top_documents": f"SELECT doc_id, count(*) AS n FROM ({all_spans_sql(DOCS)}) GROUP BY doc_id ORDER BY n DESC, doc_id LIMIT 20",
         "word_list": "SELECT DISTINCT trim(p_name) AS word FROM part WHERE trim(p_name) <> ''",
     }
-    return out
+    return out | written_sql() | evaluated_sql()
+
+
+def written_sql() -> dict[str, str]:
+    """What sources, sinks and corpus steps give back."""
+    split = oracle_of_split()
+    golden = f"SELECT id::BIGINT AS doc_id, input AS text FROM {_values(GOLDEN, 'id, category, input, expected_output, notes')}"
+    training = f"(SELECT source_text, language, from_json(tokens, '[{{\"start\":\"INT\",\"end\":\"INT\",\"label\":\"VARCHAR\",\"value\":\"VARCHAR\"}}]') AS m FROM {_values(TRAINING, 'source_text, language, tokens')})"
+    shown = "list_distinct(list_transform(m, lambda x: x.start::VARCHAR || ':' || x.\"end\"::VARCHAR || ':' || x.label))"
+    by_start = "list_sort(list_distinct(list_transform(m, lambda x: {'s': x.start, 'e': x.\"end\", 'l': x.label})))"
+    key = f"sha256(array_to_string(list_transform({by_start}, lambda x: x.s::VARCHAR || ':' || x.e::VARCHAR || ':' || x.l), ',') || '|' || source_text)"
+    rows = f"""SELECT 0 AS src, source_text, language, m FROM {training} UNION ALL SELECT 1, text, lang, [] FROM documents UNION ALL SELECT 2, text, 'en', [] FROM conversations"""
+    types = " ".join(f"WHEN x.label = {lit(k)} THEN {lit(v)}" for k, v in LABELS.items() if v)
+    stratum = f"array_to_string(list_sort(list_distinct(list_filter(list_transform(m, lambda x: CASE {types} END), lambda t: t IS NOT NULL))), '+')"
+    drawn = lambda salt: f"('0x' || md5('42-{salt}-' || p_partkey::VARCHAR)[:8])::BIGINT"
+    return {
+        "username_cores": "SELECT DISTINCT word FROM (SELECT list_reduce(regexp_extract_all(p_name, '[A-Za-z0-9_.]{4,20}'), lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END, '') AS word FROM part) WHERE word <> ''",
+        "gamer_tags": f"SELECT 'tag_' || p_partkey::VARCHAR AS word FROM part WHERE p_partkey % 3 <> 0 ORDER BY md5('42-tag_' || p_partkey::VARCHAR), word LIMIT 50",
+        "inline_text": "SELECT 'EMAIL' AS type, 5 AS start, 11 AS \"end\", 'a@b.co' AS text",
+        "jsonl_round_trip": "SELECT doc_id, text, lang FROM documents",
+        "split_folder": "SELECT doc_id, lang FROM documents WHERE lang IN ('de', 'fr')",
+        "split_writer": split,
+        "manifest": """SELECT 'documents' AS name, count(*) AS rows, coalesce(sum(('0x' || sha256('{' || concat_ws(',', '"doc_id":' || doc_id::VARCHAR, '"lang":"' || lang || '"') || '}')[:12])::BIGINT), 0)::VARCHAR AS checksum, 'doc_id,lang' AS columns FROM documents""",
+        "whole_files": "SELECT 'file' AS kind, r_name AS line FROM region",
+        "input_precedence": "SELECT * FROM (VALUES ('text', 'string', 'inline', false), ('empty', 'file', 'in a file', false), ('none', 'stdin', 'from a pipe', true)) AS v(\"case\", kind, text, unnamed)",
+        "token_classes": "SELECT text, len(list_filter(string_split(text, ' '), lambda w: length(w) % 9 = 7))::INT AS n_persons FROM documents",
+        "golden_cases": f"SELECT id::INT AS id, category, r.redacted AS output, (r.redacted = expected_output) AS passed FROM {_values(GOLDEN, 'id, category, input, expected_output, notes')} JOIN ({redacted_sql(golden)}) r ON r.doc_id = id",
+        "normalised_rows": "SELECT text AS source_text, coalesce(lang, 'en') AS language, 'US' AS locale, 'train' AS split, 0 AS n_spans, '' AS masked_text FROM documents UNION ALL SELECT coalesce(text, ''), 'en', 'US', 'train', 0, '' FROM conversations",
+        "prepared_corpus": f"""WITH r AS (SELECT src, coalesce(source_text, '') AS source_text, coalesce(language, 'en') AS language, m, {key.replace('source_text', "coalesce(source_text, '')")} AS key FROM ({rows})),
+          u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY key ORDER BY src, language) = 1),
+          n AS (SELECT *, row_number() OVER (ORDER BY md5('42-' || key)) - 1 AS uid, {stratum} AS st FROM u),
+          s AS (SELECT *, count(*) OVER (PARTITION BY st) AS n, row_number() OVER (PARTITION BY st ORDER BY md5('42-' || uid::VARCHAR), uid) AS k FROM n)
+          SELECT source_text, language, CASE WHEN n - greatest(1, floor(n * 0.8::DOUBLE)) - greatest(1, floor(n * 0.1::DOUBLE)) < 1 OR k <= greatest(1, floor(n * 0.8::DOUBLE)) THEN 'train'
+            WHEN k <= greatest(1, floor(n * 0.8::DOUBLE)) + greatest(1, floor(n * 0.1::DOUBLE)) THEN 'validation' ELSE 'test' END AS split, uid::BIGINT AS uid, len(m)::INT AS n_spans FROM s""",
+        "mask_strata": f"SELECT source_text, language, {stratum} AS stratum, array_to_string(list_transform(list_sort(list_distinct(list_transform(m, lambda x: {{'s': x.start, 't': x.start::VARCHAR || ':' || x.\"end\"::VARCHAR || ':' || x.label}}))), lambda x: x.t), ',') AS spans FROM {training}",
+        "balanced_sample": f"(SELECT doc_id, true AS positive FROM labels WHERE toxic > 0 ORDER BY {_RANK}, doc_id LIMIT 5) UNION ALL (SELECT doc_id, false FROM labels WHERE toxic <= 0 ORDER BY {_RANK}, doc_id LIMIT 20)",
+        "drawn_values": f"""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN upper(p_type) ELSE lower(p_type) END AS cased,
+          '10.' || ({drawn('b')} % 256)::VARCHAR || '.' || ({drawn('c')} % 256)::VARCHAR || '.' || ({drawn('d')} % 254 + 1)::VARCHAR AS ip,
+          strftime(TIMESTAMP '2025-01-01 00:00:00' + to_seconds({drawn('at')} % 31536000), '%Y-%m-%dT%H:%M:%SZ') AS at FROM part""",
+        "bio_types": f"SELECT label, count(*) AS n, CASE WHEN label <> 'O' THEN label[3:] END AS type FROM ({TOKENS}) GROUP BY label",
+        "gold_parts": "SELECT * FROM (VALUES (1, 3, 1), (2, 2, 0), (3, 2, 0), (4, 1, 0), (5, 1, 0), (6, 2, 0), (7, 0, 1)) AS v(doc_id, n_model, n_claimed)",
+        "stage_plug_in": "SELECT doc_id, replace(text, 'the', '[REDACTED - TOKEN]') AS redacted FROM documents",
+        "dry_run": f"SELECT doc_id, text AS redacted, coalesce(n, 0)::INT AS n_spans FROM ({TEXTS}) LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({all_spans_sql(TEXTS)}) GROUP BY doc_id) USING (doc_id)",
+    }
+
+
+def evaluated_sql() -> dict[str, str]:
+    """Alignment, greedy matching and metrics."""
+    cases = f"""SELECT doc_id, e, list_filter(list_transform(e, lambda m: {{'s': m.s + (m.e % 5) * 4, 'e': m.e + (m.e % 5) * 4, 't': m.t}}), lambda m: m.e % 7 <> 0) AS p
+      FROM (SELECT doc_id, list({{'s': x.s, 'e': x.e, 't': x.type}} ORDER BY x.s) AS e FROM (SELECT doc_id, unnest(kept) AS x FROM ({pattern_stage_sql(TEXTS)})) GROUP BY doc_id)"""
+    fits = "NOT list_contains(a, k) AND x.s < p[k + 1].e AND p[k + 1].s < x.e AND p[k + 1].t = x.t"
+    matched = f"SELECT doc_id, e, p, list_reduce(e, lambda a, x: list_append(a, coalesce(list_min(list_filter(range(len(p)), lambda k: {fits})), -1)), []::BIGINT[]) AS m FROM ({cases})"
+    ratios = """coalesce(tp / nullif(n_predicted, 0), 0.0) AS "precision", coalesce(tp / nullif(n_expected, 0), 0.0) AS recall"""
+    metrics = lambda rows: f"""SELECT *, coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0.0) AS f1 FROM (SELECT *, {ratios} FROM (
+      SELECT type, sum(tp)::BIGINT AS tp, sum(e)::BIGINT AS n_expected, sum(p)::BIGINT AS n_predicted FROM ({rows}) GROUP BY ROLLUP (type)))"""
+    expected, predicted = f"SELECT x.t AS type, 1 AS e, 0 AS p, (n >= 0)::INT AS tp FROM (SELECT unnest(e) AS x, unnest(m) AS n FROM ({matched}))", f"SELECT x.t, 0, 1, 0 FROM (SELECT unnest(p) AS x FROM ({cases}))"
+    exact = f"SELECT x.t AS type, 1 AS e, 0 AS p, list_contains(p, x)::INT AS tp FROM (SELECT unnest(e) AS x, p FROM ({cases}))"
+    marker = r"'\[REDACTED - ([A-Za-z0-9_]+)\]'"
+    state = 'STRUCT(pos BIGINT, ok BOOLEAN, "out" STRUCT(s BIGINT, e BIGINT, t VARCHAR)[])'
+    at = "CASE WHEN x.s = '' THEN length(text) ELSE a.pos + instr(text[a.pos + 1:], x.s) - 1 END"
+    found = "(x.s = '' OR instr(text[a.pos + 1:], x.s) > 0)"
+    align = f"""list_reduce(pairs, lambda a, x: {{'pos': {at} + length(x.s), 'ok': a.ok AND {found}, 'out': list_append(a.out, {{'s': a.pos, 'e': {at}, 't': x.t}})}}::{state}, {{'pos': length(head), 'ok': starts_with(text, head), 'out': []}}::{state})"""
+    return {
+        "match_spans": f"SELECT doc_id, unnest(range(len(m)))::INT AS expected_no, unnest(m)::INT AS predicted_no FROM ({matched})",
+        "prf_metrics": metrics(f"{expected} UNION ALL {predicted}"),
+        "exact_metrics": metrics(f"{exact} UNION ALL {predicted}"),
+        "quality_gate": f"SELECT l::DOUBLE AS least_f1, f1 >= l AS passed FROM ({metrics(f'{expected} UNION ALL {predicted}')}) CROSS JOIN (VALUES (0.0), (1.01)) AS g(l) WHERE type IS NULL",
+        "align_golden": f"""WITH r AS ({redacted_sql(TEXTS)}), d AS ({TEXTS}),
+          g AS (SELECT doc_id, text, string_split_regex(redacted, {marker}) AS segs, regexp_extract_all(redacted, {marker}, 1) AS types FROM r JOIN d USING (doc_id)),
+          q AS (SELECT doc_id, text, segs[1] AS head, list_transform(range(len(types)), lambda k: {{'t': types[k + 1], 's': segs[k + 2]}}) AS pairs FROM g WHERE len(types) > 0)
+          SELECT doc_id, x.s::INT AS start, x.e::INT AS "end", x.t AS type FROM (SELECT doc_id, unnest(({align}).out) AS x FROM q)""",
+    }
+
+
+def oracle_of_split() -> str:
+    share = lambda f: f"greatest(1, floor(count(*) OVER (PARTITION BY lang) * {f}::DOUBLE))"
+    return f"""SELECT doc_id, lang, CASE WHEN n - a - b < 1 THEN 'train' WHEN k <= a THEN 'train' WHEN k <= a + b THEN 'validation' ELSE 'test' END AS split
+          FROM (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, {share(0.8)} AS a, {share(0.1)} AS b, row_number() OVER (PARTITION BY lang ORDER BY {_RANK}, doc_id) AS k FROM documents)"""
 
 
 def _pick_label(key: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from functools import partial
 
@@ -13,9 +14,11 @@ from lacuna.functions.validators import iban_valid, luhn_valid, phone_valid, sha
 from lacuna.operators import corpus, entities, evaluate, spans
 from lacuna.operators.detect import _STEMS, SPAN, pattern_spans, pattern_stage, secret_spans, suppressed
 from lacuna.operators.ruleset import ALL_TYPES, PATTERNS, RULES, Pattern, Rule
+from lacuna.sources import readers, writers
 from lacuna.sources.readers import spread, table
+from lacuna.sources.session import scratch
 
-from .fixtures import ENTITIES, SAMPLES
+from .fixtures import ENTITIES, GOLDEN, SAMPLES, TRAINING, capital_words
 from .pipeline import Config, Pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,12 +62,12 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    t = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_id"), "text")
     return Pipeline().run(spread(t)).select("doc_id", "redacted")
 
 
-def found_rows(df: DataFrame, config: Config | None = None) -> DataFrame:
-    return spans.explode_spans(Pipeline(config or Config()).detect(df))
+def found_rows(df: DataFrame, config: Config | None = None, backend: entities.Backend | None = None) -> DataFrame:
+    return spans.explode_spans(Pipeline(config or Config(), backend=backend).detect(df))
 
 
 def _luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +194,7 @@ def _labelled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.deduplicate(docs(spark, sf_dir), [F.col("text"), F.col("lang")], [F.col("doc_id")], "doc_id").select("doc_id", "text", "lang")
+    return corpus.deduplicate(docs(spark, sf_dir), [F.col("text"), F.col("lang")], [F.col("doc_id")]).select("doc_id", "text", "lang")
 
 
 def _interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,6 +259,151 @@ def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.stratified_split(docs(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id")
 
 
+# -- sources, sinks and corpus steps: written to the session's scratch folder and read back ---------------------
+
+
+def _jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "jsonl")
+    writers.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
+    return readers.read_jsonl(spark, path, "doc_id long, text string, lang string")
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files named by language; two of them are read."""
+    path = scratch(spark, "languages")
+    for lang in ("de", "en", "fr"):
+        writers.write_jsonl(table(spark, sf_dir, "documents").where(F.col("lang") == lang).select("doc_id", "lang"), f"{path}/{lang}.jsonl")
+    return readers.read_split(spark, path, ("de", "fr"), schema="doc_id long, lang string")
+
+
+def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "splits")
+    writers.write_splits(_split(spark, sf_dir), path)
+    return spark.read.schema("doc_id long, lang string, split string").json(path)
+
+
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = writers.manifest(table(spark, sf_dir, "documents").select("doc_id", "lang"), "documents")
+    return spark.createDataFrame([(text,)], "line string").select(F.from_json("line", "name string, rows long, checksum string, columns array<string>").alias("m")).select("m.name", "m.rows", "m.checksum", F.array_join("m.columns", ",").alias("columns"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's name in a file of its own, read as whole texts."""
+    path = scratch(spark, "files")
+    writers.write_text(table(spark, sf_dir, "region").select(F.col("r_name").alias("redacted")).repartition(5, "redacted"), path)
+    found = readers.from_files(spark, f"{path}/*.txt")
+    return found.select("kind", F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inline text comes before a file, a file before standard input; an empty text is none."""
+    import io
+
+    path = scratch(spark, "input")
+    writers.write_text(spark.createDataFrame([("in a file",)], "redacted string").coalesce(1), path)
+    one = lambda which, df: df.select(F.lit(which).alias("case"), "kind", F.rtrim("text").alias("text"), (F.col("name") == "-").alias("unnamed"))
+    cases = (("text", "inline", f"{path}/*.txt"), ("empty", "", f"{path}/*.txt"), ("none", None, None))
+    return functools.reduce(DataFrame.unionByName, (one(c, readers.resolve(spark, t, f, io.StringIO("from a pipe"))) for c, t, f in cases)).select("case", "kind", F.regexp_replace("text", "\n$", "").alias("text"), "unnamed")
+
+
+def _lines(spark: SparkSession, sf_dir: str, of, label: str) -> str:
+    path = scratch(spark, label)
+    table(spark, sf_dir, "part").select(of.alias("value")).write.text(path)
+    return path
+
+
+def _token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-classes")
+    words = F.split("text", " ", -1)
+    table(spark, sf_dir, "documents").select("doc_id", words.alias("tokens"), F.transform(words, lambda w: F.length(w) % 9).alias("ner_tags"), "lang").write.parquet(path)
+    return readers.read_token_classes(spark, path).select(F.array_join("tokens", " ").alias("text"), F.size(F.filter("ner_tags", lambda g: g == corpus.PERSON)).alias("n_persons"))
+
+
+def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every golden case through the pipeline, against the text that is expected."""
+    path = scratch(spark, "golden")
+    spark.createDataFrame(GOLDEN, "id int, category string, input string, expected_output string, notes string").write.json(path)
+    out = Pipeline().run(readers.read_golden(spark, path), "input")
+    return out.select("id", "category", F.col("redacted").alias("output"), (F.col("redacted") == F.col("expected_output")).alias("passed"))
+
+
+def _training(spark: SparkSession) -> DataFrame:
+    mask = "array<struct<start:int,end:int,label:string,value:string>>"
+    return spark.createDataFrame(TRAINING, "source_text string, language string, tokens string").select("source_text", "language", F.from_json("tokens", mask).alias("privacy_mask"))
+
+
+def _two_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and turns of conversations (which repeat), as training rows without ``uid``."""
+    docs_ = table(spark, sf_dir, "documents").select(F.col("text").alias("source_text"), F.col("lang").alias("language"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("text").alias("source_text"), "role")
+    return docs_, turns
+
+
+def _normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.normalise(corpus.union_sources(*_two_sources(spark, sf_dir)))
+    return rows.select("source_text", "language", "locale", "split", F.size("privacy_mask").alias("n_spans"), "masked_text")
+
+
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.prepare(_training(spark), *_two_sources(spark, sf_dir))
+    return rows.select("source_text", "language", "split", "uid", F.size("privacy_mask").alias("n_spans"))
+
+
+def _masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _training(spark).select("source_text", "language", corpus.stratum(F.col("privacy_mask")).alias("stratum"), corpus.distinct_spans(F.col("privacy_mask")).alias("m"))
+    return m.select("source_text", "language", "stratum", F.array_join(F.transform("m", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["label"])), ",").alias("spans"))
+
+
+def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") > 0).alias("positive"))
+    return corpus.balanced(rows, "positive", "doc_id", 5, 20)
+
+
+def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = F.element_at(F.array(F.lit("as is"), F.lit("upper"), F.lit("lower")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", corpus.casing(F.col("p_type"), how).alias("cased"), corpus.random_ip("p_partkey").alias("ip"), corpus.random_timestamp("p_partkey").alias("at"))
+
+
+def _bio_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n")).withColumn("type", corpus.entity_type(F.col("label")))
+
+
+def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.exact_prf(_cases(spark, sf_dir))
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passed = [(x, evaluate.gate(evaluate.prf(_cases(spark, sf_dir)), x)) for x in (0.0, 1.01)]
+    return spark.createDataFrame(passed, "least_f1 double, passed boolean")
+
+
+def _gold_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.createDataFrame(ENTITIES, "doc_id int, text string, type string, start int, end int").unionByName(spark.createDataFrame([(1, "", "EMAIL", 0, 4), (7, "", "SSN", 1, 9)], "doc_id int, text string, type string, start int, end int"))
+    model, claimed = evaluate.split_gold(F.col("spans"))
+    return e.groupBy("doc_id").agg(F.collect_list(F.struct("type", "start", "end")).alias("spans")).select("doc_id", F.size(model).alias("n_model"), F.size(claimed).alias("n_claimed"))
+
+
+def _plug_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline of one stage of the caller's: every ``the`` is a TOKEN."""
+
+    def stage(df: DataFrame) -> DataFrame:
+        hits = F.transform(corpus.find_needles(F.col("text"), "the"), lambda h: F.struct(F.lit("TOKEN").alias("type"), h["s"].alias("start"), h["e"].alias("end"), F.lit("the").alias("text"), h["cs"].alias("cstart"), h["ce"].alias("cend")))
+        return df.withColumn("found", hits)
+
+    return Pipeline(stages=(stage,)).run(docs(spark, sf_dir)).select("doc_id", "redacted")
+
+
+def _dry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = Pipeline(Config(dry_run=True)).run(texts(spark, sf_dir))
+    return out.select("doc_id", "redacted", F.size("spans").alias("n_spans"))
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thorough pipeline with a backend of rules: windows, tokens, suppression and span joins around it."""
+    return found_rows(docs(spark, sf_dir), Config(thorough=True), capital_words())
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {f"detect_{n}": partial(detect_pattern, p) for n, p in zip(("email", "phone", "ipv4", "ipv6", "ssn", "mac", "iban", "credit_card", "jwt", "private_key"), PATTERNS)}
     generic = ("PASSWORD", "GENERIC_API_KEY", "DB_CREDENTIALS")
@@ -277,7 +425,13 @@ def queries() -> dict[str, Query]:
         "interleave_classes": _interleave, "tokens_to_spans": _token_spans, "bio_encode": _bio_encode, "find_needles": _needles,
         "match_spans": _match, "prf_metrics": _prf, "token_agreement": _agreement, "align_golden": _align,
         "matches_by_type": _by_type, "matches_by_lang_source": _by_lang_source, "top_documents": _top,
-        "word_list": lambda s, d: table(s, d, "part").select(F.trim("p_name").alias("word")).where("word <> ''").distinct(),
+        "word_list": lambda s, d: readers.read_word_list(s, _lines(s, d, F.col("p_name"), "words")),
+        "username_cores": lambda s, d: readers.read_usernames(s, _lines(s, d, F.col("p_name"), "usernames")),
+        "gamer_tags": lambda s, d: readers.read_gamer_tags(s, _lines(s, d, F.concat(F.lit("tag_"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, F.lit("!")).otherwise("")), "tags"), 50),
+        "inline_text": lambda s, d: found_rows(readers.from_string(s, "mail a@b.co now")).select("type", "start", "end", "text"),
+        "jsonl_round_trip": _jsonl, "split_folder": _languages, "split_writer": _splits, "manifest": _manifest, "whole_files": _files, "input_precedence": _inputs, "token_classes": _token_classes, "golden_cases": _golden,
+        "normalised_rows": _normalised, "prepared_corpus": _prepared, "mask_strata": _masks, "balanced_sample": _balanced, "drawn_values": _drawn, "bio_types": _bio_types,
+        "exact_metrics": _exact, "quality_gate": _gate, "gold_parts": _gold_parts, "stage_plug_in": _plug_in, "dry_run": _dry, "entity_stage": _entities,
         "generate_rows": lambda s, d: corpus.generate(s, 10_000).select("uid", "source_text", "masked_text", F.size("privacy_mask").alias("n_spans")),
     }
     return found

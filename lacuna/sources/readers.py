@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import warnings
+from typing import TextIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,21 +42,23 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(at.alias("doc_id"), F.lit("file").alias("kind"), at.alias("name"), F.col("value").alias("text"))
 
 
-def from_stdin(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("-", "stdin", "-", sys.stdin.read())], DOCUMENT)
+def from_stdin(spark: SparkSession, stream: TextIO | None = None) -> DataFrame:
+    return spark.createDataFrame([("-", "stdin", "-", (stream or sys.stdin).read())], DOCUMENT)
 
 
-def resolve(spark: SparkSession, text: str | None, path: str | None) -> DataFrame:
-    """``text`` if not empty, else the file, else standard input."""
-    return from_string(spark, text) if text else from_files(spark, path) if path else from_stdin(spark)
+def resolve(spark: SparkSession, text: str | None, path: str | None, stream: TextIO | None = None) -> DataFrame:
+    """``text`` if not empty, else the file, else standard input (or ``stream``)."""
+    return from_string(spark, text) if text else from_files(spark, path) if path else from_stdin(spark, stream)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = TRAINING_ROW) -> DataFrame:
-    """JSON lines; blank lines are passed over. A missing path is a warning and an empty table."""
+    """JSON lines; blank lines are passed over, a line that is no JSON is an error. A missing path is a warning and an
+    empty table."""
     if not _exists(spark, path):
         warnings.warn(f"{path} is missing; no rows are read", stacklevel=2)
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"))
+    return lines.select("row.*")
 
 
 def read_split(spark: SparkSession, folder: str, languages: tuple[str, ...] = (), most: int | None = None, schema: str = TRAINING_ROW) -> DataFrame:

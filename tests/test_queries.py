@@ -36,7 +36,7 @@ def test_sql_gives_the_same_rows(spark, con, name):
 
 
 def test_the_rest_has_no_sql():
-    assert set(queries()) - set(oracle_sql()) == {"nms_by_score", "match_spans", "prf_metrics", "align_golden", "generate_rows"}
+    assert set(queries()) - set(oracle_sql()) == {"nms_by_score", "generate_rows", "entity_stage"}
 
 
 def _greedy(expected, predicted):
@@ -68,20 +68,6 @@ def test_alignment_finds_what_was_redacted(spark):
     assert mails and all("@" in m for m in mails)
 
 
-def test_best_by_score(spark):
-    by: dict[int, list] = {}
-    for t in tokens(spark, SF).where("start < end").collect():
-        by.setdefault(t["doc_id"], []).append((t["start"], t["end"] + 3, t["score"]))
-    want = Counter()
-    for d, rows in by.items():
-        kept: list = []
-        for s, e, _ in sorted(sorted(rows)[:200], key=lambda x: (-x[2], x[0])):
-            if all(e <= a or b <= s for a, b in kept):
-                kept.append((s, e))
-        want.update((d, s, e) for s, e in sorted(kept)[:32])
-    assert Counter((r["doc_id"], r["start"], r["end"]) for r in queries()["nms_by_score"](spark, SF).collect()) == want
-
-
 def test_generated_rows_hold_their_values(spark):
     from lacuna.operators.corpus import generate
 
@@ -120,3 +106,64 @@ def test_best_by_score_of_whole_documents(spark, monkeypatch):
                 want[d, s, e] += 1
     assert max(map(len, by.values())) > 2_000
     assert Counter((r["doc_id"], r["start"], r["end"]) for r in queries()["nms_by_score"](spark, SF).collect()) == want
+
+
+def test_entity_stage_over_documents(spark):
+    """The backend's words in what the first two stages leave, in windows where a stretch is long, at most 32 a stretch."""
+    import re
+
+    from lacuna.functions import arrow_engine as engine
+    from lacuna.operators.entities import MOST_SPANS, ask
+    from lacuna.plans.fixtures import capital_words
+
+    got = Counter((r["doc_id"], r["type"], r["start"], r["end"]) for r in queries()["entity_stage"](spark, SF).collect())
+    found = Counter(k for k in got if k[1] == "NAME")
+    assert len(found) > 100 and {k for k in got if k[1] != "NAME"} == {(r["doc_id"], k, len(r["text"][:a].encode()), len(r["text"][:b].encode())) for r in spark.read.parquet(f"{SF}/documents.parquet").collect() for k, a, b in engine.spans(r["text"])}
+    texts_ = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    connector = re.compile(r"^,?[\t\n\f\r ]*[A-Z0-9]{0,6}[\t\n\f\r ]*,?[\t\n\f\r ]*\Z")
+    want = Counter()
+    for d, t in texts_.items():
+        at, out = 0, []
+        for _, a, b in [*engine.spans(t), ("", len(t), len(t))]:
+            gap = t[at:a]
+            front = len(gap) - len(gap.lstrip())
+            base = len(t[: at + front].encode())
+            if gap.strip():
+                out += [(base + s, base + e) for s, e, *_ in ask(capital_words(), [gap.strip()])[0]]
+            at = b
+        data, merged = t.encode(), []
+        for s, e in sorted(out):
+            if merged and connector.match(data[merged[-1][1] : s].decode()):
+                merged[-1] = (merged[-1][0], e)
+            else:
+                merged.append((s, e))
+        want.update((d, "NAME", s, e) for s, e in merged)
+    assert found == want and MOST_SPANS == 32
+
+
+def test_a_failing_piece_costs_only_itself():
+    from lacuna.operators.entities import Loaded, _models, ask
+
+    calls = []
+
+    class Fragile:
+        def __call__(self, texts):
+            calls.append(len(texts))
+            if any("boom" in t for t in texts):
+                raise RuntimeError
+            return [[(0, 2, "NAME", 0.9), (3, 4, "OTHER", 0.9), (4, 5, "NAME", 0.1)] for _ in texts]
+
+    backend = Loaded("fragile", Fragile)
+    assert ask(backend, ["ab c", "boom", "de f"]) == [[(0, 2, "NAME", 0.9)], [], [(0, 2, "NAME", 0.9)]] and calls == [3, 1, 1, 1]
+    assert "fragile" in _models and ask(backend, []) == []
+    backend.close()
+    assert "fragile" not in _models
+
+
+def test_long_stretches_go_in_windows():
+    from lacuna.operators.entities import ask
+    from lacuna.plans.fixtures import capital_words
+
+    text = " ".join(f"word{k} Capital" if k % 50 == 0 else f"word{k}" for k in range(900))
+    found = ask(capital_words(), [text])[0]
+    assert [text[a:b] for a, b, _, _ in found] == ["Capital"] * 18 and found == sorted(found)
