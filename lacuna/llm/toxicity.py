@@ -177,7 +177,7 @@ def _hashes(flat: np.ndarray, place: np.ndarray, most: int) -> np.ndarray:
     out, power = np.zeros(len(flat), np.uint64), np.uint64(1)
     code = flat.astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
-        for d in range(most):
+        for d in range(min(most, len(flat))):
             out[d:] += np.where(place[d:] >= d, code[: len(code) - d] * power, np.uint64(0))
             power *= _MIX
     return out

@@ -232,6 +232,62 @@ def test_toxicity_held_out_and_odd(spark, odd):
     assert toxicity.toxicity(docs.limit(0), lab).count() == 0
 
 
+def brute_kneser_ney(texts: dict[int, str], toxic: dict[int, int]):
+    """Both classes' probabilities of a character after a context, from the formulas, and the differences of words."""
+    order, d, ds = toxicity.ORDER, toxicity.DISCOUNT, toxicity.SHARED_DISCOUNT
+    kinds = {w for t in texts.values() for w in toxicity.words(t)}
+    shared: Counter = Counter()
+    for w in kinds:
+        for g in toxicity.grams(w, order - 1):
+            shared.update(g[k:] for k in range(len(g)))
+    follow: dict[str, dict[str, int]] = {}
+    for g, n in shared.items():
+        follow.setdefault(g[:-1], {})[g[-1]] = n
+
+    def low(h: str, x: str) -> float:
+        seen = follow.get(h)
+        rest = low(h[1:], x) if h else 1 / (len(seen) + 1)
+        return rest if not seen else max(seen.get(x, 0) - ds, 0) / sum(seen.values()) + ds * len(seen) / sum(seen.values()) * rest
+
+    own: dict[int, dict[str, Counter]] = {0: {}, 1: {}}
+    for k, y in toxic.items():
+        for w in set(toxicity.words(texts[k])):
+            for g in toxicity.grams(w, order):
+                own[y].setdefault(g[:-1], Counter())[g[-1]] += 1
+
+    def high(y: int, h: str, x: str) -> float:
+        seen, rest = own[y].get(h), low(h[1:], x)
+        return rest if not seen else max(seen[x] - d, 0) / sum(seen.values()) + sum(min(n, d) for n in seen.values()) / sum(seen.values()) * rest
+
+    def compare(w: str) -> float:
+        return sum(float(np.log(high(1, g[:-1], g[-1]) / high(0, g[:-1], g[-1]))) for g in toxicity.grams(w, order))
+
+    return high, compare, {g[-1] for g in shared}, sorted({h for y in (0, 1) for h in own[y]})
+
+
+def test_toxicity_models_against_brute_force(spark):
+    """Every context's probabilities sum to 1, and the model's differences of words, seen or not, are those of the formulas."""
+    rng = random.Random(11)
+    stems = ["gro", "ble", "tar", "mon", "sil", "ka", "é"]
+    texts = {k: " ".join("".join(rng.choice(stems) for _ in range(rng.randint(1, 3))) for _ in range(12)) + (" grobled tarmonk" * (k % 4 == 0)) for k in range(140)}
+    labels = {k: int(k % 4 == 0) for k in texts if k % 7}
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int"))
+    fold = lambda k: zlib.crc32(str(k).encode()) % 5
+    ask = sorted({w for t in texts.values() for w in toxicity.words(t)})[:40] + ["grobledgro", "kakakaka", "éé", "zzz", "grozz"]
+    for left in (0, 2):
+        fit = {k: y for k, y in labels.items() if fold(k) not in (0, left)}
+        high, compare, alphabet, contexts = brute_kneser_ney(texts, fit)
+        for h in rng.sample(contexts, 60):
+            for y in (0, 1):
+                unseen = high(y, h, "\x00")
+                assert abs(sum(high(y, h, x) for x in alphabet) + unseen - 1) < 1e-9 and unseen > 0
+        assert np.allclose(model.compare(ask, left), [compare(w) for w in ask], atol=2e-4)
+    text = texts[4]
+    v = model.compare(toxicity.words(text))
+    assert np.allclose(model.features(text), (v.mean(), (v > toxicity.DECISIVE).mean())) and model.features(None) == (0.0, 0.0)
+
+
 # -- quality -----------------------------------------------------------------------------------------------------------
 
 
