@@ -279,7 +279,7 @@ def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "splits")
     writers.write_splits(_split(spark, sf_dir), path)
-    return spark.read.schema("doc_id long, lang string, split string").json(path)
+    return functools.reduce(DataFrame.unionByName, (spark.read.schema("doc_id long, lang string, split string").json(f"{path}/{x}") for x in ("train", "validation", "test")))
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,16 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_splits(rows: DataFrame, path: str, split_col: str = "split") -> None:
-    """``path/split=.../*.json``."""
-    rows.write.mode("overwrite").partitionBy(split_col).json(path)
+    """``path/train/``, ``path/validation/``, ``path/test/`` (one folder per split, named as it is), rows with all their
+    columns. One pass writes all; then folders are renamed, which moves no data."""
+    rows.withColumn("_folder", F.col(split_col)).write.mode("overwrite").partitionBy("_folder").json(path)
+    spark = rows.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("_folder="):
+            files.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(root, name.removeprefix("_folder=")))
 
 
 def write_text(rows: DataFrame, path: str, col: str = "redacted") -> None:

@@ -46,7 +46,11 @@ def test_sinks(spark, tmp_path):
     writers.write_jsonl(df, str(tmp_path / "j"))
     assert "é" in "".join(p.read_text() for p in (tmp_path / "j").glob("*.json"))
     writers.write_splits(df, str(tmp_path / "k"))
-    assert {p.name for p in (tmp_path / "k").glob("split=*")} == {"split=train", "split=test"}
+    assert {p.name for p in (tmp_path / "k").iterdir() if p.is_dir()} == {"train", "test"}
+    assert [json.loads(x) for p in (tmp_path / "k" / "test").glob("*.json") for x in p.read_text().splitlines()] == [{"uid": 2, "source_text": "b", "split": "test"}]
+    with pytest.raises(Exception, match="(?i)malformed"):  # noqa: B017 - Spark's own error, whatever its class
+        (tmp_path / "bad.jsonl").write_text('{"uid": 1}\n\nno json\n')
+        readers.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "uid long").collect()
     a, b = json.loads(writers.manifest(df, "x")), json.loads(writers.manifest(df.repartition(3), "x"))
     assert a == b and a["rows"] == 2
     assert writers.with_digest(df, "source_text").where("uid = 2").first()["source_text_sha256"].startswith("3e23e8160039594a")
@@ -71,6 +75,16 @@ def test_corpus_steps(spark):
     assert spark.range(3).select(corpus.random_ip("id").alias("ip")).where("ip rlike '^10[.]'").count() == 3
 
 
+def test_no_row_is_lost_without_ids(spark):
+    """Missing, null and repeated ids, and repeated rows."""
+    rows = spark.createDataFrame([(None, "a"), (1, "b"), (1, "b"), (2, "b"), (1, "c"), (None, None), (None, None)], "uid long, t string")
+    assert sorted(map(str, (tuple(r) for r in corpus.deduplicate(rows, [F.col("t")], [F.col("uid")]).collect()))) == sorted(map(str, [(None, "a"), (1, "b"), (1, "c"), (None, None)]))
+    bare = spark.createDataFrame([("x",), ("y",), ("x",), (None,)], "source_text string")
+    got = corpus.prepare(bare, bare.limit(2)).collect()
+    assert sorted(r["source_text"] for r in got) == ["", "x", "y"] and sorted(r["uid"] for r in got) == [0, 1, 2]
+    assert corpus.prepare(bare.limit(0)).count() == 0
+
+
 def test_prepared_corpus(spark):
     classes = spark.createDataFrame([([f"w{k}", "Ana", "x"], [0, 7, 0] if k % 3 else [0, 0, 0]) for k in range(60)], "tokens array<string>, ner_tags array<int>")
     made = corpus.generate(spark, 200)
