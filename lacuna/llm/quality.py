@@ -142,14 +142,15 @@ def _distance(x: list[Column], prefix: str = "") -> Column:
 
 def _joined(groups: DataFrame, names: list[str]) -> DataFrame:
     """Means ``names`` of groups (k_lang, g, n) joined by those of their language, and these by those of all: each counts
-    for ``PRIOR`` rows more. One row a group; nothing of documents moves."""
+    for ``PRIOR`` rows more. ``groups`` is written first: one row a group, and nothing of documents is counted twice. The
+    sums over all groups are one row."""
+    groups = settle(groups, "quality-means")
     total = [F.sum(F.col("n") * F.col(c)).alias(c) for c in names]
+    every = groups.agg(F.sum("n").alias("n"), *total).first()
+    mean = {c: (every[c] or 0.0) / (every["n"] or 1) for c in names}
     langs = groups.groupBy("k_lang").agg(F.sum("n").alias("n"), *total)
-    every = langs.groupBy(F.lit(0).alias("one")).agg(F.sum("n").alias("n_all"), *(F.sum(c).alias(f"{c}_all") for c in names))
-    langs = langs.withColumn("one", F.lit(0)).join(every, "one")
-    langs = langs.select("k_lang", *(((F.col(c) + PRIOR * F.col(f"{c}_all") / F.col("n_all")) / (F.col("n") + PRIOR)).alias(f"{c}_lang") for c in names))
-    out = groups.join(langs, "k_lang")
-    return out.select("g", *(((F.col("n") * F.col(c) + PRIOR * F.col(f"{c}_lang")) / (F.col("n") + PRIOR)).alias(c) for c in names))
+    langs = langs.select("k_lang", *(((F.col(c) + PRIOR * mean[c]) / (F.col("n") + PRIOR)).alias(f"{c}_lang") for c in names))
+    return groups.join(langs, "k_lang").select("g", *(((F.col("n") * F.col(c) + PRIOR * F.col(f"{c}_lang")) / (F.col("n") + PRIOR)).alias(c) for c in names))
 
 
 def fit(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "") -> DataFrame:
@@ -166,7 +167,8 @@ def fit(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", pr
     med = wide(_bins_up_to(tall(x, lambda i: F.col(FEATURES[i])), F.floor(F.col("v") * 256), ["g", "i"], 0.5), "m")
     centre = settle(_joined(sized.join(med, "g"), [f"m{i}" for i in range(d)]), "quality-medians")
     dev = wide(_bins_up_to(tall(x.join(centre, "g"), lambda i: F.abs(F.col(FEATURES[i]) - F.col(f"m{i}"))), F.floor(F.col("v") * 256), ["g", "i"], 0.5), "s")
-    start = centre.join(_joined(sized.join(dev, "g"), [f"s{i}" for i in range(d)]), "g")
+    spread = settle(_joined(sized.join(dev, "g"), [f"s{i}" for i in range(d)]), "quality-deviations")
+    start = centre.join(spread, "g")
     for i in range(d):
         for j in range(i + 1):
             start = start.withColumn(f"c{i}_{j}", 1.4826**2 * F.col(f"s{i}") * F.col(f"s{i}") + FLOORS[i] ** 2 if i == j else F.lit(0.0))
@@ -178,7 +180,7 @@ def fit(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", pr
         near = at.join(cut, "g").where("bin <= cut")
         moments = near.groupBy("k_lang", "g").agg(F.count("*").alias("n"), *(F.avg(k).alias(f"m{i}") for i, k in enumerate(FEATURES)), *(F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c{i}_{j}") for i, j in pairs))
         raw = moments.select("k_lang", "g", "n", *(f"m{i}" for i in range(d)), *((F.col(f"c{i}_{j}") + F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}_{j}") for i, j in pairs))
-        moments = _joined(raw, [*(f"m{i}" for i in range(d)), *(f"c{i}_{j}" for i, j in pairs)])
+        moments = settle(_joined(raw, [*(f"m{i}" for i in range(d)), *(f"c{i}_{j}" for i, j in pairs)]), "quality-moments")
         for i, j in pairs:
             moments = moments.withColumn(f"c{i}_{j}", CONSISTENCY * (F.col(f"c{i}_{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0))
         new = settle(_whitening(moments), "quality-estimate")
