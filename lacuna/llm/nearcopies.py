@@ -241,10 +241,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     ship(spark)
-    signs = settle(_signatures(docs, id_col, text_col, ngram), "signatures")
+    every = settle(_signatures(docs, id_col, text_col, ngram), "signatures")
+    signs = settle(every.select("doc_id", "digest"), "digests")
     reps = settle(signs.groupBy("digest").agg(F.min("doc_id").alias("id")), "set-representatives")
-    own = settle(signs.where("n > 0").join(reps.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "fp", "keys", "bits"), "sets")
+    own = settle(every.where("n > 0").join(reps.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "fp", "keys", "bits"), "sets")
 
+    discard(spark, every)
     keyed = settle(own.select(F.explode("keys").alias("key"), "id"), "shingle-keys")
     sizes = settle(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared-keys")
     shared = settle(chunk_pairs(keyed.join(sizes.hint("merge"), "key"), "key", F.ceil(F.col("m") / HOT_KEY), "id"), "key-places")
@@ -258,9 +260,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     meet = settle(meet.join(own.select(F.col("id").alias("node"), "n").hint("merge"), "node"), "meeting")
     load = meet.groupBy("component").agg(F.sum("n").alias("load"))
-    meet = meet.join(load.hint("merge"), "component").select(F.col("node").alias("id"), "component", F.ceil(F.col("load") / HOT_SHINGLES).alias("g"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(meet.hint("merge"), "id")
-    sets = settle(_sets(texts, ngram).join(meet.hint("merge"), "id"), "meeting-sets")
+    meet = settle(meet.join(load, "component").select(F.col("node").alias("id"), "component", F.ceil(F.col("load") / HOT_SHINGLES).alias("g")), "meeting-places")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(meet.select("id"), "id", "left_semi")  # few texts meet
+    sets = settle(_sets(texts, ngram).join(meet, "id"), "meeting-sets")
     pieces = chunk_pairs(sets, "component", F.col("g"), "id")
     links = settle(_grouped(pieces, lambda rows: _set_links([r[0] for r in rows], least), "found"), "links")
     comp = connected_components(links)
