@@ -213,8 +213,9 @@ def fingerprint_links(reps: DataFrame, radius: int = 4, segments: int = SEGMENTS
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.tile(fp, t)), pa.array(np.tile(ids, t))], ["key", "fp", "id"])
 
     keyed = settle(reps.select("fp", "id").mapInArrow(explode_keys, "key long, fp long, id long"), "pivot-keys")
-    sizes = settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
-    shared = chunk_pairs(keyed.join(sizes, "key"), "key", F.ceil(F.col("n") / HOT_KEY), "fp").withColumnRenamed("place", "key")
+    # rows are dealt by their key at every size alike; only keys of many rows, which are few, are looked up and split
+    hot = settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY), "hot-keys")
+    shared = chunk_pairs(keyed.join(hot, "key", "left"), "key", F.ceil(F.coalesce("n", F.lit(1)) / HOT_KEY), "fp").withColumnRenamed("place", "key")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -239,7 +240,7 @@ def fingerprint_links(reps: DataFrame, radius: int = 4, segments: int = SEGMENTS
 
     links = settle(shared.select("key", "sub", "fp", "id").repartition("key", "sub").sortWithinPartitions("key", "sub").mapInArrow(link, "a long, b long"), "links")
     discard(spark, keyed)
-    discard(spark, sizes)
+    discard(spark, hot)
     return links
 
 
