@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -193,8 +194,6 @@ def bio_encode(tokens: DataFrame, gold: DataFrame) -> DataFrame:
 
 def find_needles(text: Column, needle: Column | str) -> Column:
     """All occurrences of a literal as ``array<struct<s,e,cs,ce>>``."""
-    import re
-
     java = F.lit(re.escape(needle)) if isinstance(needle, str) else F.concat(F.lit("\\Q"), needle, F.lit("\\E"))
     return let(java, lambda n: find_all(text, n))
 
@@ -203,33 +202,91 @@ def casing(text: Column, how: Column) -> Column:
     return F.when(how == "upper", F.upper(text)).when(how == "lower", F.lower(text)).otherwise(text)
 
 
-# Templates of the generator: text around a slot, entity type, and weight.
-TEMPLATES = (
-    ("My name is {}.", "NAME", 12), ("Contact {} for details.", "NAME", 10), ("Ship it to {}.", "ADDRESS", 10), ("She lives at {} now.", "ADDRESS", 8), ("user={} logged in", "USERNAME", 10),
-    ("@{} commented on the issue", "USERNAME", 8), ("Signed, {}", "NAME", 6), ("Delivery address: {}", "ADDRESS", 6), ("login as {} failed", "USERNAME", 5), ("Nothing to see here today.", None, 8),
+#: Kinds of generated texts: name, weight (fixed values: results depend on the shares), case of the values, and texts. A slot
+#: in braces becomes a value; NAME, ADDRESS and USERNAME are spans.
+KINDS = (
+    ("stack trace", 10, "as is", ("Traceback (most recent call last):\n  File \"/home/{USERNAME}/app/{WORD}.py\", line {NUM}, in {WORD}\nValueError: no account for {NAME}", "panic: {WORD} failed\n\tat /srv/{USERNAME}/{WORD}.go:{NUM}\nreported by {NAME} <{AT}>")),
+    ("environment block", 8, "as is", ("APP_OWNER={NAME}\nAPP_USER={USERNAME}\nAPP_PORT={NUM}", "export DEPLOY_USER={USERNAME}\nexport REGION={WORD}-{NUM}\nexport BILLING_ADDRESS=\"{ADDRESS}\"")),
+    ("access log", 10, "as is", ("{IP} - {USERNAME} [{AT}] \"GET /{WORD}/{NUM} HTTP/1.1\" 200 {NUM}", "{AT} {IP} login ok user={USERNAME} name=\"{NAME}\"")),
+    ("change listing", 8, "as is", ("commit {HEX}\nAuthor: {NAME} <{USERNAME}@{WORD}.example>\nDate: {AT}\n\n    fix {WORD}", "--- a/{WORD}.py\n+++ b/{WORD}.py\n-# owner: {NAME}\n+# owner: {NAME}")),
+    ("hard negatives", 16, "as is", ("The {WORD} service restarted after {NUM} seconds.", "Release {NUM}.{NUM} of {WORD} ships on {AT}.", "Build {HEX} passed in Austin mode; see Jordan rules.", "Set max_{WORD}={NUM} in the Lincoln profile.")),
+    ("stack trace, capitals", 4, "upper", ("ERROR IN MODULE {WORD} LINE {NUM}\nOWNER: {NAME}",)),
+    ("log, capitals", 4, "upper", ("{AT} WARN USER {USERNAME} LOCKED OUT", "{AT} INFO SHIPMENT FOR {NAME} TO {ADDRESS}")),
+    ("environment, capitals", 3, "upper", ("OWNER={NAME}\nCONTACT={NAME}",)),
+    ("small letters", 5, "lower", ("talked to {NAME} about {WORD} today", "{NAME} lives at {ADDRESS} now", "ask {USERNAME}, not {NAME}")),
+    ("hard negatives, mixed case", 4, "as is", ("WARN {WORD} RETRY {NUM}", "deploying {WORD} to Stage-{NUM}")),
+    ("structured log", 7, "as is", ("{{\"at\":\"{AT}\",\"user\":\"{USERNAME}\",\"name\":\"{NAME}\",\"ms\":{NUM}}}", "{{\"ship_to\":\"{ADDRESS}\",\"id\":{NUM}}}")),
+    ("cluster event", 5, "as is", ("Normal Pulled pod/{WORD}-{HEX} by {USERNAME} at {AT}", "Warning BackOff pod/{WORD}-{NUM} owner={NAME}")),
+    ("pipeline output", 5, "as is", ("[{AT}] step {NUM}/{NUM} started by {USERNAME}\n[{AT}] approved by {NAME}",)),
+    ("query result", 4, "as is", (" id | name | address\n----+------+--------\n {NUM} | {NAME} | {ADDRESS}\n {NUM} | {NAME} | {ADDRESS}",)),
+    ("chat message", 4, "as is", ("@{USERNAME} can you look at {WORD}? {NAME} is out", "{{\"text\":\"{NAME} joined #{WORD}\"}}")),
+    ("code comment", 4, "as is", ("# TODO({USERNAME}): ask {NAME} about {WORD}", "// reviewed by {NAME}, see {WORD} #{NUM}")),
+    ("container log", 4, "as is", ("{WORD}_1  | {AT} session opened for {USERNAME} from {IP}", "{WORD}_1  | mail queued for {NAME}")),
+    ("plan output", 4, "as is", ("  + owner = \"{NAME}\"\n  + user  = \"{USERNAME}\"\n  + id    = \"{HEX}\"",)),
+    ("cloud output", 4, "as is", ("{{\"UserName\": \"{USERNAME}\", \"Arn\": \"arn:{WORD}:{NUM}\"}}", "OWNER  {NAME}\nSINCE  {AT}")),
+    ("code block", 10, "as is", ("def notify():\n    user = \"{USERNAME}\"\n    send(\"{NAME}\", \"{ADDRESS}\")\n    return {NUM}", "class {WORD}:\n    author = \"{NAME}\"\n    limit = {NUM}")),
+    ("nothing of anyone", 10, "as is", ("for i in range({NUM}):\n    {WORD}(i)", "select {WORD} from {WORD} where id = {NUM}", "{AT} {WORD} {WORD} {NUM}")),
 )
+_ENTITY = ("NAME", "ADDRESS", "USERNAME")
 _FIRST = ("Ana", "Ben", "Chloe", "Dev", "Elif", "Farid", "Greta", "Hugo")
 _LAST = ("Ruiz", "Okafor", "Lindt", "Marsh", "Novak", "Sato", "Weber", "Yilmaz")
 _STREET = ("Oak St", "Mill Lane", "High Road", "Station Ave", "Park Way", "Lake Drive")
+_CITY = ("Leeds", "Lyon", "Ghent", "Porto", "Graz", "Turku")
+_WORDS = ("billing", "cache", "export", "gateway", "index", "ledger", "queue", "worker")
+
+
+def _slot(slot: str, seed: int, salt: str, case: str) -> Column:
+    """The value of a slot, drawn by the row's id."""
+    d = lambda what: draw(seed, f"{salt}{what}", "id")
+    pick = lambda values, what: F.element_at(F.array(*map(F.lit, values)), (d(what) % len(values) + 1).cast("int"))
+    if slot == "NAME":
+        out = F.concat_ws(" ", pick(_FIRST, "first"), pick(_LAST, "last"))
+    elif slot == "ADDRESS":
+        out = F.concat(F.concat_ws(" ", (d("house") % 999 + 1).cast("string"), pick(_STREET, "street")), F.when(d("long") % 2 == 0, F.concat(F.lit(", "), pick(_CITY, "city"))).otherwise(F.lit("")))
+    elif slot == "USERNAME":
+        out = F.concat(F.lower(pick(_FIRST, "first")), F.lit("_"), (d("digits") % 9999).cast("string"))
+    elif slot == "IP":
+        return random_ip("id", seed)
+    elif slot == "AT":
+        return random_timestamp("id", seed)
+    elif slot == "HEX":
+        return F.substring(F.md5(F.concat_ws("-", F.lit(f"{seed}{salt}"), F.col("id").cast("string"))), 1, 12)
+    elif slot == "NUM":
+        return (d("number") % 1000).cast("string")
+    else:
+        return pick(_WORDS, "word")
+    return casing(out, F.lit(case))
+
+
+def _filled(text: str, seed: int, salt: str, case: str) -> Column:
+    """``struct<text, mask>`` of one text with its slots filled, spans in order."""
+    parts = [p for p in re.split(r"(\{[A-Z]+\}|\{\{|\}\})", text) if p]
+    is_slot = lambda p: p.startswith("{") and p != "{{"
+    values = F.array(*(_slot(p[1:-1], seed, f"{salt}-{k}-", case) if is_slot(p) else F.lit({"{{": "{", "}}": "}"}.get(p, p)) for k, p in enumerate(parts)))
+
+    def spans(v: Column) -> Column:
+        start = lambda k: F.length(F.array_join(F.slice(v, 1, k), ""))
+        one = lambda k, p: F.struct(start(k).alias("start"), start(k + 1).alias("end"), F.lit(p[1:-1]).alias("label"), F.get(v, F.lit(k)).alias("value"))
+        found = [one(k, p) for k, p in enumerate(parts) if is_slot(p) and p[1:-1] in _ENTITY]
+        return F.struct(F.array_join(v, "").alias("text"), (F.array(*found) if found else none_of(MASK[6:-1])).cast(MASK).alias("mask"))
+
+    return let(values, spans)
 
 
 def generate(spark, n: int, seed: int = 42, first_uid: int = 1_000_000) -> DataFrame:
-    """``n`` synthetic training rows from seeded hashes: a weighted template, and a value of its entity type."""
-    pick = lambda salt, size: F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(salt)), F.lit(size)).cast("int")
-    choose = lambda salt, values: F.element_at(F.array(*map(F.lit, values)), pick(salt, len(values)) + 1)
-    table = [k for k, t in enumerate(TEMPLATES) for _ in range(t[2])]
-    k = choose("template", table)
-    of = lambda col: F.element_at(F.array(*(F.lit(t[col]) for t in TEMPLATES)), k + 1)
-    kind = of(1)
-    first, last = choose("first", _FIRST), choose("last", _LAST)
-    value = F.when(kind == "NAME", F.concat_ws(" ", first, last)).when(kind == "ADDRESS", F.concat_ws(" ", (pick("house", 999) + 1).cast("string"), choose("street", _STREET))).when(kind == "USERNAME", F.concat(F.lower(first), F.lit("_"), pick("digits", 9999).cast("string")))
-    value = F.when(kind.isNotNull(), casing(value, F.element_at(F.array(F.lit("as is"), F.lit("as is"), F.lit("upper"), F.lit("lower")), pick("case", 4) + 1)))
-    head, tail = F.substring_index(of(0), "{}", 1), F.when(kind.isNotNull(), F.substring_index(of(0), "{}", -1)).otherwise("")
-    at = F.length(head)
-    mask = F.when(kind.isNull(), none_of(MASK[6:-1])).otherwise(F.array(F.struct(at.alias("start"), (at + F.length(value)).alias("end"), kind.alias("label"), value.alias("value"))))
-    text = F.concat(head, F.coalesce(value, F.lit("")), tail)
-    masked = F.when(kind.isNull(), text).otherwise(F.concat(head, F.lit("["), kind, F.lit("]"), tail))
-    return spark.range(n).select(text.alias("source_text"), F.lit("en").alias("language"), F.lit("US").alias("locale"), F.lit("train").alias("split"), mask.alias("privacy_mask"), (F.col("id") + first_uid).alias("uid"), masked.alias("masked_text"))
+    """``n`` synthetic training rows: a kind by weight, one of its texts, and values in its slots, all drawn from hashes of
+    the row's number that every engine with MD5 can repeat. Rows hold any number of spans and lines, or none."""
+    place = draw(seed, "kind", "id") % sum(k[1] for k in KINDS)
+    made, kind, upto = F.when(F.lit(False), _filled("", seed, "", "as is")), F.when(F.lit(False), F.lit("")), 0
+    for number, (name, weight, case, texts) in enumerate(KINDS):
+        upto += weight
+        which = draw(seed, f"text{number}", "id") % len(texts)
+        one = F.when(F.lit(False), _filled("", seed, "", "as is"))
+        for k, t in enumerate(texts):
+            one = one.when(which == k, _filled(t, seed, f"{number}-{k}", case))
+        made, kind = made.when(place < upto, one), kind.when(place < upto, F.lit(name))
+    rows = spark.range(n).select("id", kind.alias("kind"), made.alias("made"))
+    return rows.select(F.col("made.text").alias("source_text"), F.lit("en").alias("language"), F.lit("US").alias("locale"), F.lit("train").alias("split"), distinct_spans(F.col("made.mask")).alias("privacy_mask"), (F.col("id") + first_uid).alias("uid"), F.lit("").alias("masked_text"), "kind")
 
 
 def draw(seed: int, salt: str, id_col: str) -> Column:

@@ -432,6 +432,6 @@ def queries() -> dict[str, Query]:
         "jsonl_round_trip": _jsonl, "split_folder": _languages, "split_writer": _splits, "manifest": _manifest, "whole_files": _files, "input_precedence": _inputs, "token_classes": _token_classes, "golden_cases": _golden,
         "normalised_rows": _normalised, "prepared_corpus": _prepared, "mask_strata": _masks, "balanced_sample": _balanced, "drawn_values": _drawn, "bio_types": _bio_types,
         "exact_metrics": _exact, "quality_gate": _gate, "gold_parts": _gold_parts, "stage_plug_in": _plug_in, "dry_run": _dry, "entity_stage": _entities,
-        "generate_rows": lambda s, d: corpus.generate(s, 10_000).select("uid", "source_text", "masked_text", F.size("privacy_mask").alias("n_spans")),
+        "generate_rows": lambda s, d: corpus.generate(s, 10_000).select("uid", "kind", "source_text", F.size("privacy_mask").alias("n_spans")),
     }
     return found

@@ -69,11 +69,17 @@ def test_alignment_finds_what_was_redacted(spark):
 
 
 def test_generated_rows_hold_their_values(spark):
-    from lacuna.operators.corpus import generate
+    """Kinds by weight, spans that hold their values, and kinds of no one without spans."""
+    from lacuna.operators.corpus import KINDS, generate
 
-    rows = generate(spark, 300).collect()
+    rows = generate(spark, 3000).collect()
     assert all(r["source_text"][m["start"] : m["end"]] == m["value"] for r in rows for m in r["privacy_mask"])
-    assert [r["uid"] for r in rows][:2] == [1_000_000, 1_000_001] and len({r["source_text"] for r in rows}) > 100
+    assert [r["uid"] for r in rows][:2] == [1_000_000, 1_000_001] and len({r["source_text"] for r in rows}) > 2000
+    total, seen = sum(k[1] for k in KINDS), Counter(r["kind"] for r in rows)
+    assert len(KINDS) == 21 and total == 133 and all(abs(seen[k] / 3000 - w / total) < 0.03 for k, w, _, _ in KINDS)
+    assert all((len(r["privacy_mask"]) == 0) == (r["kind"].startswith(("hard", "nothing"))) for r in rows)
+    assert any(len(r["privacy_mask"]) > 2 for r in rows) and any("\n" in r["source_text"] for r in rows) and not any("{" + x in r["source_text"] for r in rows for x in ("NAME}", "NUM}", "WORD}"))
+    assert [tuple(r) for r in generate(spark, 5).collect()] == [tuple(r) for r in rows[:5]]
 
 
 def test_entity_operators_read_the_documents(spark):
