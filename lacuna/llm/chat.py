@@ -526,8 +526,11 @@ class Template:
 
         filters = FILTERS | {"escape": escape}
         pure = PURE | {f"|{k}": f for k, f in filters.items()}
-        self.tree = fold(parse(source, filters), pure)
-        self._run = _block(self.tree, pure)
+        try:
+            self.tree = fold(parse(source, filters), pure)
+            self._run = _block(self.tree, pure)
+        except RecursionError:
+            raise TemplateError("the template nests too deeply") from None
 
     def render(self, **env: Any) -> tuple[str, list[tuple[int, int]]]:
         """Text and generation stretches in code points."""

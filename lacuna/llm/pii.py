@@ -439,7 +439,11 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def mask_personal_data(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every span masked and ``length_col`` (if there) set to the new length in code points."""
+    """``docs`` with every span masked and ``length_col`` (if there) set to the new length in code points.
+
+    Null texts stay null, with a null length, and empty ones empty; repeated rows are masked alike; other columns pass
+    through whatever their names; no row goes. No shuffle.
+    """
     ship(docs.sparkSession)
     field = trained()
     n = docs.columns.index(text_col)

@@ -83,6 +83,9 @@ def test_template_language_folds_and_is_sandboxed():
         with pytest.raises(chat.TemplateError):
             chat.Template(bad).render(x={})
     assert chat.Template("{{ x.upper }}").render(x="s")[0] == ""
+    for deep in ("{{ " + "(" * 5_000 + "1" + ")" * 5_000 + " }}", "{% if x %}" * 5_000 + "{% endif %}" * 5_000):
+        with pytest.raises(chat.TemplateError):
+            chat.Template(deep)
 
 
 def test_chat_odd_tables(spark):
